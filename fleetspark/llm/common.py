@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
+from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,3 +42,9 @@ def ascii_lower(c: Column) -> Column:
 def remainder(c: Column, n: int) -> Column:
     """crc32 of the value as text, modulo n."""
     return F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(n))
+
+
+def shipped(spark: SparkSession, value) -> Callable:
+    """A function that gives ``value`` in tasks; it is broadcast with the code of its classes. For bounded values only."""
+    held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(held.value)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import remainder
+from .common import remainder, shipped
 
 #: Bounds of the sample that is learned from: rows of either label, and characters taken of each.
 SAMPLE_ROWS, SAMPLE_CHARS = 3000, 8000
@@ -111,7 +111,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", score: str = "scor
 
     A column named as the score gives way. One narrow stage, no shuffle; repeated rows get equal scores.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = shipped(docs.sparkSession, model)
     source = docs.drop(score)
     names = source.columns
     inner = source.toDF(*[f"c{i}" for i in range(len(names))])
@@ -119,7 +119,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", score: str = "scor
     schema = StructType([*inner.schema, StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
+        m = held()
         features = m.scorer() if m.good else lambda t: [1.0]
         for b in batches:
             out = [m.score(features(t or b"")) for t in b.column(at).cast(pa.binary()).to_pylist()]

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import WORDS, written
+from .common import WORDS, shipped, written
 
 #: Words of one shard of items: about 100 MB of automaton.
 SHARD_WORDS = 400_000
@@ -162,8 +162,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, text: str
     items and rows each count. An empty table of items hits nothing. A column of ``docs`` with one of these names gives
     way. Texts pass whole. Narrow: no shuffle; the items are broadcast in shards of at most ``shard_words`` words.
     """
-    spark = docs.sparkSession
-    automata = spark.sparkContext.broadcast(_shards(items, item_id, item_text, window, shard_words))
+    automata = shipped(docs.sparkSession, _shards(items, item_id, item_text, window, shard_words))
     added = [x.split()[0] for x in SPANS.split(", ")]
     source = docs.drop(*added)
     names = source.columns
@@ -172,7 +171,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, text: str
     schema = StructType([*inner.schema, *StructType.fromDDL(SPANS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machines = automata.value
+        machines = automata()
         for b in batches:
             rows = []
             for raw in b.column(at).cast(pa.binary()).to_pylist():
