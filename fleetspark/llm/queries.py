@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import compress_classifier, decontaminate, html_extract
+from . import compress_classifier, decontaminate, hmm, html_extract, token_counts
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -30,3 +30,16 @@ def op2_decontaminate(spark, sf_dir):
 @_query
 def op9_compress_classifier(spark, sf_dir):
     return compress_classifier.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
+
+
+@_query
+def op4_token_counts(spark, sf_dir, vocabulary=VOCABULARY):
+    return token_counts.counts(_table(spark, sf_dir, "documents"), token_counts.load(vocabulary))
+
+
+@_query
+def op5_hmm(spark, sf_dir):
+    return hmm.score(_table(spark, sf_dir, "documents"))
