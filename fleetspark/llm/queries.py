@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import compress_classifier, decontaminate, hmm, html_extract, token_counts
+from . import compress_classifier, decontaminate, hmm, html_extract, mixing, secrets, token_counts
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -43,3 +43,13 @@ def op4_token_counts(spark, sf_dir, vocabulary=VOCABULARY):
 @_query
 def op5_hmm(spark, sf_dir):
     return hmm.score(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op3_secrets(spark, sf_dir):
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op8_mixing(spark, sf_dir):
+    return mixing.mix(_table(spark, sf_dir, "documents"))
