@@ -97,13 +97,16 @@ def fit(good: list[str], bad: list[str], seed: int = 7) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learns from labelled rows outside the held-out fold: at most ``sample_rows`` of either label, those with the least
-    hash of the text's id, and of each the first SAMPLE_CHARS characters. Null labels, ids and texts aren't used.
+    hash of their id, and of each the first SAMPLE_CHARS characters. Null labels, ids and texts aren't used; an id with
+    several texts gives the least of them; an id with both labels counts for both.
     """
     marked = labels.select("doc_id", F.col("quality").alias("y")).where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (remainder(F.col("doc_id"), folds) != held)).distinct()
+    # The sample is drawn by id alone, so that only its own texts leave their partitions.
+    chosen = [marked.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows) for y in (0, 1)]
+    chosen = docs.sparkSession.createDataFrame(chosen[0].union(chosen[1]).collect(), marked.schema)
     texts = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("t")).where("t is not null and t <> ''")
-    joined = texts.join(marked, "doc_id")
-    found = {y: [r["t"] for r in joined.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "t").limit(sample_rows).select("t").collect()] for y in (1, 0)}
-    return fit(found[1], found[0])
+    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("t").alias("t")).collect()
+    return fit([r["t"] for r in sample if r["y"] == 1], [r["t"] for r in sample if r["y"] == 0])
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
