@@ -1,7 +1,7 @@
 """Mixing of sources to target weights by a low-discrepancy schedule, in DataFrame operations only.
 
-Every source's documents are shuffled by a hash and laid end to end; the words so numbered are cut into blocks of about
-BLOCK words, equal within a source. The mix is a sequence of slots. Slot n has the point frac(n * golden ratio), which
+Every source's documents are shuffled by a hash and laid end to end; the words so numbered are cut into blocks of
+equal length within a source, BLOCK words at most and a thousandth of a mean target if that is less. The mix is a sequence of slots. Slot n has the point frac(n * golden ratio), which
 the cumulative shares of the sources map to a source; the slots of a source are ranked, and rank r takes the source's
 block r modulo its number of blocks. So any stretch of the mix holds the sources nearly in proportion to their targets.
 """
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-BLOCK = 1000
+BLOCK, FINE = 4096, 1000
 #: Most of a source that a mix takes, in times its size.
 MOST = 3
 #: Rows of a run within which sizes are summed in order; slots of a run within which they are ranked.
@@ -83,7 +83,7 @@ def schedule(plan: DataFrame, most: int = MOST) -> DataFrame:
     return ranked.where(F.col("rank") < most * F.col("blocks")).select("slot", "source_no", "rank", F.pmod("rank", "blocks").alias("block"))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = MOST, block: int = BLOCK) -> DataFrame:
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = MOST, block: int | None = None) -> DataFrame:
     """Per row of ``docs``: the key, size, source_size, target and taken, the words that the mix takes of it.
 
     Size is the number of words, 0 for null texts; a null source is a source. Rows without words are kept and give none.
@@ -93,7 +93,11 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     """
     rows = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"))
     rows = written(rows.withColumn("hash", F.xxhash64("key", "size", F.lit(8))), "mix-sizes")
-    plan = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most, block)
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    if block is None:
+        known = sizes.agg(F.sum("source_size").alias("words"), F.count("*").alias("sources")).first()
+        block = min(BLOCK, max(1, (known["words"] or 0) // (FINE * max(1, known["sources"]))))
+    plan = targets(sizes, weights, most, block)
     plan = written(plan.withColumn("source_no", F.row_number().over(Window.orderBy(F.col("source").isNull(), "source"))), "mix-plan")
     runs = 1 + rows.count() // RUN
     # A power of two of equal ranges of the hash
