@@ -1,0 +1,42 @@
+"""Connected components of a graph given as a table of edges."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import written
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, root) for each node of ``edges``; root is the least node that its edges lead to.
+
+    Alternates large and small stars: every node hands its greater neighbours, then its lesser ones, to the least of them,
+    so paths shrink by half and a round moves as many rows as there are edges. Each round is written to the shared folder.
+    A node of very many edges is spread by its other ends: the least neighbour is found by partial aggregation and only
+    joined back. Loops and repeated edges are harmless; a null end drops the edge; no edges give no rows.
+    """
+    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
+    e = written(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    size = _digest(e)
+    while size[0]:
+        both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = written(large.where("u <> v").distinct(), "edges")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u")
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
+        e = written(small.where("u <> v").distinct(), "edges")
+        now = _digest(e)
+        if now == size:
+            break
+        size = now
+    roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return roots.unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def _digest(e: DataFrame) -> tuple:
+    """The number of edges and a sum over them, alike only if the edges are."""
+    r = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    return tuple(r)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import compress_classifier, decontaminate, hmm, html_extract, mixing, secrets, token_counts
+from . import compress_classifier, decontaminate, hmm, html_extract, line_dedup, mixing, secrets, token_counts
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -53,3 +53,8 @@ def op3_secrets(spark, sf_dir):
 @_query
 def op8_mixing(spark, sf_dir):
     return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op10_line_dedup(spark, sf_dir):
+    return line_dedup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
