@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import compress_classifier, decontaminate, hmm, html_extract, line_dedup, mixing, secrets, token_counts
+from . import compress_classifier, decontaminate, hmm, html_extract, jaccard_join, line_dedup, mixing, secrets, token_counts
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -58,3 +58,8 @@ def op8_mixing(spark, sf_dir):
 @_query
 def op10_line_dedup(spark, sf_dir):
     return line_dedup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_query
+def op7_jaccard_join(spark, sf_dir):
+    return jaccard_join.groups(_table(spark, sf_dir, "documents"))
