@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import compress_classifier, decontaminate, hmm, html_extract, jaccard_join, line_dedup, mixing, secrets, token_counts
+from . import compress_classifier, decontaminate, hmm, html_extract, jaccard_join, line_dedup, mixing, near_embeddings, secrets, token_counts
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -63,3 +63,8 @@ def op10_line_dedup(spark, sf_dir):
 @_query
 def op7_jaccard_join(spark, sf_dir):
     return jaccard_join.groups(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op6_near_embeddings(spark, sf_dir):
+    return near_embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
