@@ -1,4 +1,4 @@
 """Queries over fleet telemetry; importing the package registers them."""
 
 from . import registry  # noqa: F401
-from . import grouped, joined, ordered, rows  # noqa: F401
+from . import grouped, joined, models, ordered, pipelines, rows, spatial  # noqa: F401
