@@ -43,6 +43,8 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 LIMITS = frozenset("table ul ol dl div section article main body td th blockquote".split())
 BREAKS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 PUNCTUATION = re.compile(r"[.,;:!?…、。，；：！？]")
+#: Open elements at most, as in browsers; deeper ones lend their text to those.
+DEPTH = 512
 #: A path's fused ratio must reach this share of the best one.
 SHARE = 0.04
 
@@ -105,7 +107,7 @@ def blocks(html: str) -> list[tuple[str, str, bool, bool, int]]:
         parent = stack[-1] if stack else ("", "", False, False)
         label = f"{tag}.{'.'.join(sorted(re.sub(r'[0-9]+', '', marks).split()))}" if marks else tag
         away = parent[2] or tag in AWAY or bool(tag not in MAIN and tag not in ("html", "body") and (marks and HINT.search(marks) or attributes and HIDDEN.search(attributes)))
-        if not (attributes and attributes.rstrip().endswith("/") and tag not in INLINE and tag not in BREAKS_P):
+        if len(stack) < DEPTH and not (attributes and attributes.rstrip().endswith("/") and tag not in INLINE and tag not in BREAKS_P):
             stack.append((tag, label, away, parent[3] or tag in MAIN))
     text(html[at:])
     flush()
