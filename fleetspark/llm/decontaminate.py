@@ -158,8 +158,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, text: str
     longest (words of the longest run that an item holds, within runs that can hold a window) and clean_text, the text
     without its hit spans (null unless ``remove``; the text itself where nothing is hit).
 
-    Null and empty texts have no words; null and wordless items no windows; an item with a null id counts as ''. Equal
-    items and rows each count. An empty table of items hits nothing. A column of ``docs`` with one of these names gives
+    Null and empty texts have no words; null and wordless items no windows; an item with a null id counts as ''. Items
+    of one id are one item; repeated rows of ``docs`` count each. An empty table of items hits nothing. A column of ``docs`` with one of these names gives
     way. Texts pass whole. Narrow: no shuffle; the items are broadcast in shards of at most ``shard_words`` words.
     """
     automata = shipped(docs.sparkSession, _shards(items, item_id, item_text, window, shard_words))
@@ -180,12 +180,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, text: str
                 for m in machines:
                     s, f, n = m.scan(seq)
                     spans = s if not spans else _merged(spans + s) if s else spans
-                    found |= {(m.ids[k] or "", id(m), k) for k in f}
+                    found |= {m.ids[k] or "" for k in f}
                     longest = max(longest, n)
                 clean = None
                 if remove and raw is not None:
                     clean = _without(raw, spans).decode() if spans else raw.decode()
-                rows.append((len(seq), sum(e - s for s, e in spans), len(found), sorted(x[0] for x in found), longest, clean))
+                rows.append((len(seq), sum(e - s for s, e in spans), len(found), sorted(found), longest, clean))
             cols = list(zip(*rows)) if rows else [[]] * 6
             types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, t) for c, t in zip(cols, types))], schema.names)
@@ -228,12 +228,15 @@ def clean(docs: DataFrame, items: DataFrame, window: int = 10, max_coverage: flo
     documents have it, follows the text. Documents without a hit stay as they are, null texts too.
     """
     names = docs.columns
-    found = decontaminate(docs, items, window)
+    inner = {c: f"__{i}" for i, c in enumerate(names)}  # so that no column clashes with those that are added
+    text = inner["text"]
+    found = decontaminate(docs.toDF(*inner.values()), items, window, text=text)
     kept = found.where((F.col("n_hit") <= max_coverage * F.col("n_words")) & (F.col("longest") <= max_span))
-    kept = kept.withColumn("text", F.when(F.col("n_hit") > 0, F.col("clean_text")).otherwise(F.col("text")))
+    kept = kept.withColumn(text, F.when(F.col("n_hit") > 0, F.col("clean_text")).otherwise(F.col(text)))
     if "n_chars" in names:
-        kept = kept.withColumn("n_chars", F.when(F.col("n_hit") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return kept.select(*names)
+        size = inner["n_chars"]
+        kept = kept.withColumn(size, F.when(F.col("n_hit") > 0, F.length(text).cast("long")).otherwise(F.col(size)))
+    return kept.select(*(F.col(i).alias(c) for c, i in inner.items()))
 
 
 def sha(ids: list[str]) -> str:

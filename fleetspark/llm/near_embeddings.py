@@ -221,8 +221,9 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vec: str = "embeddi
     fine = F.when(fine, (norm > 0) & (norm < float("inf"))).otherwise(F.lit(False))
     rows = vectors.select(F.col(key).alias("key"), F.col(label).alias("label"), F.col(vec).alias("vec"), fine.alias("fine"))
     good = rows.where("fine").drop("fine")
-    nodes = good.groupBy("label", "vec").agg(F.min("key").cast("long").alias("id"), F.count("*").alias("copies")).withColumn("dim", F.size("vec"))
-    nodes = written(nodes, "vectors")
+    nodes = good.groupBy("label", "vec").agg(F.min("key").cast("long").alias("key"), F.count("*").alias("copies"))
+    # Keys may repeat, so nodes have numbers of their own, fixed by writing them.
+    nodes = written(nodes.withColumn("dim", F.size("vec")).withColumn("id", F.monotonically_increasing_id()), "vectors")
     most = nodes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
     bits = max(0, math.ceil(math.log2(max(1, most / CELL))))
     met = written(_from_cells(nodes, range(TREES), bits, k, threshold), "near-met")
@@ -247,8 +248,9 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vec: str = "embeddi
         trees += MORE
         stars, lists = edges.unionAll(met.where("sim is null").select("a", "b")), written(_best(lists.unionByName(met), k), "near-lists")
     counted = _counts(nodes, roots, threshold)
-    placed = nodes.join(roots.withColumnRenamed("node", "id"), "id", "left").join(counted, "id", "left")
-    placed = placed.select("label", "vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
+    placed = nodes.join(roots.withColumnRenamed("node", "id"), "id", "left").join(counted, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    least = placed.groupBy("root").agg(F.min("key").alias("component_id"))
+    placed = placed.join(least, "root").select("label", "vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     out = good.join(placed, ["label", "vec"]).select(F.col("key").alias(key), "n_links", "component_id")
     alone = rows.where(~F.col("fine")).select(F.col("key").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("key").cast("long").alias("component_id"))
     return out.unionAll(alone).withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(False)))

@@ -56,7 +56,7 @@ def test_same_as_brute_force(spark):
 
 def test_spans_are_removed(spark):
     item = "one two three four five six seven eight nine ten"
-    docs = [(1, f"Before, {item.upper()}! after that come many more words so that most of the text stays as it was written, on and on it goes without an end in sight, and then some more of it to fill the page.", "x", 9), (2, item, "x", 9), (3, None, "x", 9), (4, "clean", "x", 9)]
+    docs = [(1, f"Before, {item.upper()}! after that come many more words so that most of the text stays as it was written, on and on it goes without an end in sight, and then some more of it to fill the page, which is a rather long one at that.", "x", 9), (2, item, "x", 9), (3, None, "x", 9), (4, "clean", "x", 9)]
     df = spark.createDataFrame(docs, "doc_id long, text string, items string, n_chars long")
     out = {r.doc_id: r for r in D.clean(df, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
     assert set(out) == {1, 3, 4} and out[1].text.startswith("Before, ! after that") and out[1].n_chars == len(out[1].text) and out[1]["items"] == "x"
