@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from . import compress_classifier, decontaminate, hmm, html_extract, jaccard_join, line_dedup, mixing, near_embeddings, secrets, token_counts
+from .oracles import ORACLE_SQL  # noqa: F401
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
 
 
 def _query(f):
