@@ -106,7 +106,12 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, sam
     chosen = docs.sparkSession.createDataFrame(chosen[0].union(chosen[1]).collect(), marked.schema)
     texts = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("t")).where("t is not null and t <> ''")
     sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("t").alias("t")).collect()
-    return fit([r["t"] for r in sample if r["y"] == 1], [r["t"] for r in sample if r["y"] == 0])
+    good, bad = ([r["t"] for r in sample if r["y"] == y] for y in (1, 0))
+    model = fit(good, bad)
+    if good and bad:  # the sample has its own share of good rows; scores follow that of all
+        n = {r["y"]: r["count"] for r in marked.groupBy("y").count().collect()}
+        model.weights[0] += math.log(n[1] / n[0]) - math.log(len(good) / len(bad))
+    return model
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
