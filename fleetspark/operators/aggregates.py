@@ -59,8 +59,8 @@ def top_share(df: DataFrame, by: list[str], cell: str, weight: Column) -> DataFr
 
 
 def with_scalars(df: DataFrame, **aggs: Column) -> DataFrame:
-    """Adds aggregates over the whole table, a single row, to each row."""
-    return df.crossJoin(F.broadcast(df.agg(*(c.alias(n) for n, c in aggs.items()))))
+    """Adds aggregates over the whole table to each row, as scalar subqueries."""
+    return df.withColumns({n: df.agg(c).scalar() for n, c in aggs.items()})
 
 
 def decayed_mean(df: DataFrame, by: list[str], order: list[str], x: str, rate: float = 0.1) -> DataFrame:

@@ -25,9 +25,9 @@ def apply_history(df: DataFrame, levels: list[tuple[DataFrame, list[str], str]],
 
 def smoothed_mean(train: DataFrame, by: list[str], target: str, k: float, out: str = "smoothed") -> DataFrame:
     """(n * mean + k * mean of all) / (n + k) by entity."""
-    whole = train.agg(F.avg(target).alias("__g"))
+    whole = train.agg(F.avg(target)).scalar()
     d = train.groupBy(*by).agg(F.count(target).alias("__n"), F.avg(target).alias("__m"))
-    return d.crossJoin(F.broadcast(whole)).select(*by, ((F.col("__n") * F.coalesce("__m", F.lit(0.0)) + k * F.col("__g")) / (F.col("__n") + k)).alias(out))
+    return d.select(*by, ((F.col("__n") * F.coalesce("__m", F.lit(0.0)) + k * whole) / (F.col("__n") + k)).alias(out))
 
 
 def out_of_fold_mean(df: DataFrame, by: list[str], fold: str, target: str, out: str = "oof_mean") -> DataFrame:
@@ -36,8 +36,8 @@ def out_of_fold_mean(df: DataFrame, by: list[str], fold: str, target: str, out:
     s = F.sum(target).over(key) - F.sum(target).over(part)
     n = F.count(target).over(key) - F.count(target).over(part)
     folds = df.groupBy(fold).agg(F.sum(target).alias("__s"), F.count(target).alias("__n"))
-    whole = folds.agg(F.sum("__s").alias("__ts"), F.sum("__n").alias("__tn"))
-    folds = folds.crossJoin(F.broadcast(whole)).select(fold, ((F.col("__ts") - F.col("__s")) / F.when(F.col("__tn") != F.col("__n"), F.col("__tn") - F.col("__n"))).alias("__rest"))
+    folds = folds.withColumn("__ts", df.agg(F.sum(target)).scalar()).withColumn("__tn", df.agg(F.count(target)).scalar())
+    folds = folds.select(fold, ((F.col("__ts") - F.col("__s")) / F.when(F.col("__tn") != F.col("__n"), F.col("__tn") - F.col("__n"))).alias("__rest"))
     return df.withColumn(out, s / F.when(n != 0, n)).join(folds, fold, "left").withColumn(out, F.coalesce(out, "__rest")).drop("__rest")
 
 
@@ -64,8 +64,8 @@ def refuel_offsets(refuels: DataFrame, ts: str, litres: str, keys, minutes: tupl
 def low_days(df: DataFrame, day: str, x: str, q: float = 0.25) -> DataFrame:
     """Days and whether their mean is no higher than the q-quantile of days' means."""
     d = df.groupBy(day).agg(F.avg(x).alias("day_mean"))
-    limit = d.agg(F.percentile("day_mean", F.lit(q)).alias("limit"))
-    return d.crossJoin(F.broadcast(limit)).select(day, "day_mean", (F.col("day_mean") <= F.col("limit")).cast("int").alias("is_low"))
+    limit = d.agg(F.percentile("day_mean", F.lit(q))).scalar()
+    return d.select(day, "day_mean", (F.col("day_mean") <= limit).cast("int").alias("is_low"))
 
 
 def benchmark_residual(df: DataFrame, bins: list[str], entity: str, target: str) -> DataFrame:

@@ -155,8 +155,7 @@ def vehicle_history(spark, sf_dir):
     t = shift_totals(spark, sf_dir)
     train = t.where(F.dayofmonth("date") <= 20)
     fine, coarse = stats.fit_history(train, ["vehicle", "shift"], "used", "vs"), stats.fit_history(train, ["vehicle"], "used", "v")
-    default = train.agg(F.percentile("used", F.lit(0.5)).alias("g"))
-    out = stats.apply_history(t.crossJoin(F.broadcast(default)), [(fine, ["vehicle", "shift"], "vs"), (coarse, ["vehicle"], "v")], "median", F.col("g"), "expected")
+    out = stats.apply_history(t.withColumn("g", train.agg(F.percentile("used", F.lit(0.5))).scalar()), [(fine, ["vehicle", "shift"], "vs"), (coarse, ["vehicle"], "v")], "median", F.col("g"), "expected")
     return out.select("vehicle", "date", "shift", R("expected", 6).alias("expected"))
 
 
@@ -177,8 +176,7 @@ def physics_prior(spark, sf_dir):
     t = shift_totals(spark, sf_dir)
     rate = t.where("n > 1").withColumn("r", F.col("used") / F.col("n"))
     v = rate.groupBy("vehicle").agg(F.percentile("r", F.lit(0.5)).alias("rate"))
-    g = rate.agg(F.percentile("r", F.lit(0.5)).alias("g"))
-    return t.join(v, "vehicle", "left").crossJoin(F.broadcast(g)).select("vehicle", "date", "shift", R(F.col("n") * F.coalesce("rate", "g", F.lit(46.0)), 6).alias("prior"))
+    return t.join(v, "vehicle", "left").withColumn("g", rate.agg(F.percentile("r", F.lit(0.5))).scalar()).select("vehicle", "date", "shift", R(F.col("n") * F.coalesce("rate", "g", F.lit(46.0)), 6).alias("prior"))
 
 
 _SQL_DATE, _SQL_SHIFT = "CAST(t AS DATE) - CASE WHEN hour(t) < 6 THEN 1 ELSE 0 END", "CASE WHEN hour(t) >= 6 AND hour(t) < 14 THEN 'A' WHEN hour(t) >= 14 AND hour(t) < 22 THEN 'B' ELSE 'C' END"

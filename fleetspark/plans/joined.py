@@ -134,8 +134,7 @@ def request_fill(spark, sf_dir):
     q = t.select(*key).union(t.select("vehicle", F.date_add("date", 400).alias("date"), "shift")).distinct()
     q = q.withColumn("id", F.row_number().over(Window.orderBy(*key)).cast("long"))
     h = t.where("n > 1").groupBy("vehicle", "shift").agg(F.avg("used").alias("m"))
-    g = t.agg(F.avg("used").alias("g"))
-    out = q.join(t, key, "left").join(h, ["vehicle", "shift"], "left").crossJoin(F.broadcast(g))
+    out = q.join(t, key, "left").join(h, ["vehicle", "shift"], "left").withColumn("g", t.agg(F.avg("used")).scalar())
     return out.select("id", R(F.coalesce("used", "m", "g"), 6).alias("predicted"))
 
 
