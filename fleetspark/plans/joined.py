@@ -36,7 +36,7 @@ def safe_join(spark, sf_dir):
     return out.select("s_suppkey", "s_name", F.col("n_nationkey").alias("s_nationkey"), "n_name", "n_regionkey")
 
 
-@query("suffix_join", sql("SELECT vehicle, a.n AS n_a, b.n AS n_b, round(0.4 * a.n + 0.6 * b.n, 6) AS blend FROM (SELECT vehicle, count(*) AS n FROM pings WHERE shift = 'A' GROUP BY 1) a JOIN (SELECT vehicle, count(*) AS n FROM pings WHERE shift = 'B' GROUP BY 1) b USING (vehicle)"))
+@query("suffix_join", sql("SELECT vehicle, a.n AS n_a, b.n AS n_b, round(0.4::DOUBLE * a.n + 0.6::DOUBLE * b.n, 6) AS blend FROM (SELECT vehicle, count(*) AS n FROM pings WHERE shift = 'A' GROUP BY 1) a JOIN (SELECT vehicle, count(*) AS n FROM pings WHERE shift = 'B' GROUP BY 1) b USING (vehicle)"))
 def suffix_join(spark, sf_dir):
     p = keyed(pings(spark, sf_dir))
     a, b = (p.where(F.col("shift") == s).groupBy("vehicle").agg(F.count("*").alias("n")) for s in "AB")

@@ -121,7 +121,7 @@ def kinematics(spark, sf_dir):
     return pings(spark, sf_dir).select("event_id", a.alias("a")).select("event_id", R("a", 9).alias("accel"), (F.col("a") < -0.001).cast("int").alias("braking"))
 
 
-@query("climb_descent", sql("""SELECT vehicle, sum(greatest(d, 0)) AS climb, sum(greatest(-d, 0)) AS descent FROM (SELECT vehicle, k - lag(k) OVER (PARTITION BY vehicle ORDER BY ts, event_id) AS d FROM pings) WHERE d IS NOT NULL GROUP BY vehicle"""))
+@query("climb_descent", sql("""SELECT vehicle, sum(greatest(d, 0))::BIGINT AS climb, sum(greatest(-d, 0))::BIGINT AS descent FROM (SELECT vehicle, k - lag(k) OVER (PARTITION BY vehicle ORDER BY ts, event_id) AS d FROM pings) WHERE d IS NOT NULL GROUP BY vehicle"""))
 def climb_descent(spark, sf_dir):
     from fleetspark.operators.sequence import change, ordered
 
