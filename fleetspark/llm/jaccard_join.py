@@ -40,6 +40,7 @@ PER_BUCKET, BUCKETS, PACKED = 1_000_000, 256, 2_000_000
 SAMPLE, OFTEN, FREQUENT = 20_000, 10, 200_000
 #: Sets whose elements are asked for by broadcast; more are joined by shuffle.
 SMALL = 1_000_000
+#: Bits of a sketch at least; it has two a shingle, up to a power of two.
 SKETCH = 256
 U = np.uint64
 
@@ -80,6 +81,14 @@ def shingles(raw: bytes | None, hashes: dict, n: int = N) -> np.ndarray:
     return np.unique(_mix(h))
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of the numbers of elements by class. Two sketches differ in no more bits than their sets in elements; the
+    halves of one, joined by exclusive or, are the sketch of half the width."""
+    width = max(SKETCH, 1 << (2 * len(s) - 1).bit_length())
+    odd = np.bincount((_mix(s) & U(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
 def set_id(s: np.ndarray) -> int:
     """A signed 64-bit name of the set."""
     x = _mix(np.array([len(s)], U) + s.sum(dtype=U, keepdims=True) * U(0x9E3779B97F4A7C15) + _mix(s ^ U(0xA5A5A5A5A5A5A5A5)).sum(dtype=U))
@@ -124,11 +133,13 @@ class Signatures:
             most = self.differences(n, largest)
             segments = (self.differences(high, high) + 1) * 11 // 10 + 2
             found = self._segments(light, segments, 4 * band)
-            out.append(found[: most + 1] if band > own and len(found) > most else found)
+            # Of two partners, the segments with elements before the first equal one all differ, so it is among the first
+            # H+1 of either.
+            out.append(found[: most + 1])
             if len(found) > most:
                 continue
             found = self._segments(s, segments, 4 * band + 1)
-            out.append(found)
+            out.append(found[: most + 1])
             if len(found) > most:
                 continue
             out.append(self._neighbours(s, (self.differences(high, high) + 2) // 2, 4 * band + 2))
@@ -192,12 +203,14 @@ def _runs(docs: DataFrame, text: str, signatures: Signatures, buckets: int) -> D
 
         def flush():
             s, owner = np.concatenate(sigs), np.repeat(np.array(sids, np.int64), [len(x) for x in sigs])
-            bucket = (s >> U(20)) % U(buckets)
+            # The bucket comes from the upper bits; of the lower ones 40 go on, as buckets are small and sets are verified.
+            bucket = (s >> U(40)) % U(buckets)
             order = np.argsort(bucket, kind="stable")
             s, owner, bucket = s[order], owner[order], bucket[order]
+            low, high = s.astype(np.uint32), (s >> U(32)).astype(np.uint8)
             starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
             ends = np.append(starts[1:], len(s))
-            rows = [(int(bucket[i]), s[i:j].tobytes(), owner[i:j].tobytes()) for i, j in zip(starts, ends)]
+            rows = [(int(bucket[i]), low[i:j].tobytes() + high[i:j].tobytes(), owner[i:j].tobytes()) for i, j in zip(starts, ends)]
             for k in range(0, len(rows), 200):
                 b, x, y = zip(*rows[k : k + 200])
                 yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(x, pa.binary()), pa.array(y, pa.binary())], ["bucket", "sigs", "sids"])
@@ -220,7 +233,7 @@ def _runs(docs: DataFrame, text: str, signatures: Signatures, buckets: int) -> D
             yield from flush()
 
     def meet(block: pa.Table) -> pa.Table:
-        sig = np.concatenate([np.frombuffer(x, U) for x in block.column("sigs").to_pylist()])
+        sig = np.concatenate([np.frombuffer(x[: len(x) // 5 * 4], np.uint32) | np.frombuffer(x[len(x) // 5 * 4 :], np.uint8).astype(U) << U(32) for x in block.column("sigs").to_pylist()])
         sid = np.concatenate([np.frombuffer(x, np.int64) for x in block.column("sids").to_pylist()])
         order = np.lexsort((sid, sig))
         sig, sid = sig[order], sid[order]
@@ -244,34 +257,22 @@ def _runs(docs: DataFrame, text: str, signatures: Signatures, buckets: int) -> D
     return packed.groupBy("bucket").applyInArrow(meet, "run long, a long, b long")
 
 
-def _elements(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
-    """(sid, n, sketch, set) of each wanted sid; the set as packed hashes in order, the sketch its parities by SKETCH classes."""
-    asked = wanted.count()
-    ids = shipped(docs.sparkSession, np.sort(np.array([r[0] for r in wanted.collect()], np.int64)) if asked <= SMALL else None)
+def _elements(docs: DataFrame, key: str, text: str, owners: DataFrame) -> DataFrame:
+    """(sid, n, sketch, set) of the rows whose key is in ``owners``, one for each set that is asked for; the set as packed
+    hashes in order. Rows that repeat a key give more sets or repeat one, which does no harm below."""
+    own = owners.select(F.col("key").alias("__own")).distinct()
+    own = F.broadcast(own) if owners.count() <= SMALL else own
+    among = docs.join(own, F.col(key).eqNullSafe(F.col("__own")), "left_semi").select(F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, want, seen = _WordHashes(), ids(), set()
+        hashes = _WordHashes()
         for b in batches:
-            rows = []
-            for raw in b.column(0).cast(pa.binary()).to_pylist():
-                s = shingles(raw, hashes)
-                if not len(s) or (sid := set_id(s)) in seen:
-                    continue
-                if want is not None and ((k := np.searchsorted(want, sid)) == len(want) or want[k] != sid):
-                    continue
-                if len(seen) >= 500_000:
-                    seen.clear()
-                seen.add(sid)
-                odd = np.bincount((_mix(s) % U(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
-                rows.append((sid, len(s), np.packbits(odd.astype(np.uint8)).tobytes(), s.tobytes()))
+            rows = [(set_id(s), len(s), sketch(s), s.tobytes()) for s in (shingles(raw, hashes) for raw in b.column(0).cast(pa.binary()).to_pylist()) if len(s)]
             for i in range(0, len(rows), 100):
                 cols = list(zip(*rows[i : i + 100]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["sid", "n", "sketch", "set"])
 
-    found = docs.select(F.col(text).alias("text")).mapInArrow(run, "sid long, n long, sketch binary, set binary")
-    if asked > SMALL:
-        found = found.join(wanted.toDF("sid"), "sid", "left_semi")
-    return written(found.dropDuplicates(["sid"]), "jaccard-sets")
+    return written(among.mapInArrow(run, "sid long, n long, sketch binary, set binary"), "jaccard-sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -295,30 +296,47 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return written(both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "jaccard-links")
 
 
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of ``pairs`` whose a and b the links don't connect yet."""
+    named = F.broadcast(roots) if roots.count() <= SMALL else roots
+    p = pairs.join(named.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(named.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+    return p.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select(*pairs.columns)
+
+
 def _across(runs: DataFrame, roots: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of a run that no links connect yet and whose sizes and sketches don't rule out the similarity."""
-    members = runs.select("run", F.col("a").alias("sid")).unionAll(runs.select("run", F.col("b").alias("sid"))).distinct()
+    """Pairs of a run that no links connect yet and whose sizes and sketches don't rule out the similarity.
+
+    A run with unconnected members has one that its least isn't connected with, so only such runs are brought together.
+    """
+    open_runs = written(_apart(runs.select("run", "a", "b"), roots).select("run").distinct(), "jaccard-open")
+    rows = runs.join(open_runs, "run", "left_semi")
+    members = rows.select("run", F.col("a").alias("sid")).unionAll(rows.select("run", F.col("b").alias("sid"))).distinct()
     members = members.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    members = written(members, "jaccard-runs")
-    open_runs = members.groupBy("run").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("run")
-    members = members.join(open_runs, "run").join(sets.select("sid", "n", "sketch"), "sid").select("run", "sid", "root", "n", "sketch")
+    members = members.join(sets.select("sid", "n", "sketch").dropDuplicates(["sid"]), "sid").select("run", "sid", "root", "n", "sketch")
 
     def run(block: pa.Table) -> pa.Table:
         order = np.argsort(block.column("n").to_numpy(), kind="stable")
         sid, root, n = (block.column(c).to_numpy()[order] for c in ("sid", "root", "n"))
-        sketch = np.frombuffer(b"".join(block.column("sketch").to_pylist()), U).reshape(len(sid), -1)[order]
+        raw = block.column("sketch").to_pylist()
+        raw = [np.frombuffer(raw[i], U) for i in order]
+        words = np.array([len(x) for x in raw])
+        # Sketches by width, each also folded to half of it: partners' widths differ by one step at most.
+        wide = {w: np.stack([x for x in raw if len(x) == w]) for w in np.unique(words)}
+        at = np.zeros(len(raw), np.int64)
+        for w in wide:
+            at[words == w] = np.arange((words == w).sum())
+        half = {w: x[:, : w // 2] ^ x[:, w // 2 :] for w, x in wide.items() if w > SKETCH // 64}
         a, b = [], []
         for i in range(len(sid) - 1):
             j = np.searchsorted(n, n[i] * den // num, side="right")
-            if j <= i + 1:
-                continue
-            apart = np.flatnonzero(root[i + 1 : j] != root[i]) + i + 1
-            if not len(apart):
-                continue
-            differ = np.bitwise_count(sketch[apart] ^ sketch[i]).sum(1)
-            apart = apart[differ <= (den - num) * (n[i] + n[apart]) // (den + num)]
-            a.append(np.maximum(sid[apart], sid[i]))
-            b.append(np.minimum(sid[apart], sid[i]))
+            near = np.flatnonzero(root[i + 1 : j] != root[i]) + i + 1
+            for w in np.unique(words[near]):
+                those = near[words[near] == w]
+                other = wide[w] if w == words[i] else half[w]
+                differ = np.bitwise_count(other[at[those]] ^ raw[i]).sum(1)
+                those = those[differ <= (den - num) * (n[i] + n[those]) // (den + num)]
+                a.append(np.maximum(sid[those], sid[i]))
+                b.append(np.minimum(sid[those], sid[i]))
         none = np.empty(0, np.int64)
         return pa.table([pa.array(np.concatenate(a) if a else none), pa.array(np.concatenate(b) if b else none)], ["a", "b"])
 
@@ -340,14 +358,16 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int =
     found = written(_runs(docs, text, signatures, max(BUCKETS, int(0.6 * size["n"]) // PER_BUCKET)).distinct(), "jaccard-candidates")
     pairs = found.groupBy("a", "b").agg(F.count("*").alias("shared"))
     pairs = written(pairs, "jaccard-pairs")
-    sets = _elements(docs, text, written(pairs.select(F.col("a").alias("sid")).unionAll(pairs.select("b")).distinct(), "jaccard-ends"))
+    ends = pairs.select(F.col("a").alias("sid")).unionAll(pairs.select("b")).distinct()
+    owners = sets_of.join(ends, "sid", "left_semi").groupBy("sid").agg(F.min("key").alias("key"))
+    sets = _elements(docs, key, text, written(owners, "jaccard-owners"))
 
     # Each set with the one it shares most with; then pairs, then members of runs, that these links leave apart.
     best = pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", F.col("b"))).alias("b"))
     links = _verified(best, sets, num, den)
     roots = components(links)
-    apart = lambda p: _apart(p, roots).join(best, ["a", "b"], "left_anti")
-    links = links.unionAll(_verified(written(apart(pairs.select("a", "b")), "jaccard-more"), sets, num, den))
+    more = _apart(pairs.select("a", "b"), roots).join(best, ["a", "b"], "left_anti")
+    links = links.unionAll(_verified(written(more, "jaccard-more"), sets, num, den))
     roots = components(links)
     rest = _across(found.where("run <> 0"), roots, sets, num, den).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
     rest = written(rest, "jaccard-rest")
@@ -360,12 +380,6 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int =
     return out.where("sid is not null").join(least, "root").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id").unionAll(alone)
 
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs whose ends the links don't connect."""
-    p = pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-    return p.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-
-
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without those that a row with a lesser doc_id is grouped with. Of rows with one id all stay or
     go together; a null id stays."""

@@ -88,6 +88,9 @@ def test_all_pairs_share_a_signature():
                 continue
             of = J.Signatures(np.sort(rng.choice(s, len(s) * 3 // 4)) if frequent else np.empty(0, np.uint64)).of
             assert np.intersect1d(of(s), of(t)).size
+            a, b = (np.frombuffer(J.sketch(x), np.uint8) for x in (s, t))
+            if len(a) == len(b):
+                assert np.bitwise_count(a ^ b).sum() <= len(s) + len(t) - 2 * same
 
 
 def test_edges(spark):
