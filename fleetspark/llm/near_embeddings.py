@@ -24,8 +24,8 @@ from .graph import components
 THRESHOLD = 0.98
 #: Neighbours in a list, hyperplane trees drawn at first and in each further round, rounds of descent and of audit at most.
 K, TREES, MORE, ROUNDS, AUDITS = 10, 6, 4, 4, 4
-#: Vectors of a cell aimed at, and at most; of a block of a group; audited.
-CELL, LARGEST, BLOCK, AUDITED = 128, 512, 512, 256
+#: Vectors of a cell aimed at, and at most; of a block of a group; audited; brought together in a task's group.
+CELL, LARGEST, BLOCK, AUDITED, TOGETHER = 128, 512, 512, 256, 2000
 
 
 def _matrix(column) -> np.ndarray:
@@ -70,13 +70,18 @@ def _met(ids: np.ndarray, x: np.ndarray, worst: np.ndarray | None, k: int, thres
 ENTRIES = "a long, b long, sim double"
 
 
+def _buckets(rows: int) -> int:
+    """Groups to deal rows into, so that small cells don't make small batches and no group grows with the table."""
+    return max(512, rows // TOGETHER)
+
+
 def _table(parts: list[list[np.ndarray]]) -> pa.Table:
     parts = [p for p in parts if p]
     cols = [np.concatenate(c) for c in zip(*parts)] if parts else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
     return pa.table([pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)), pa.array(cols[2], pa.float64(), from_pandas=True)], ["a", "b", "sim"])
 
 
-def _from_cells(nodes: DataFrame, trees: range, bits: int, k: int, threshold: float) -> DataFrame:
+def _from_cells(nodes: DataFrame, size: int, trees: range, bits: int, k: int, threshold: float) -> DataFrame:
     """Entries and stars from the cells of random hyperplanes; a cell of more than LARGEST is dealt out at random."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,8 +104,7 @@ def _from_cells(nodes: DataFrame, trees: range, bits: int, k: int, threshold: fl
     sized = nodes.select("label", "dim", "id", "vec").mapInArrow(code, schema).groupBy(*cell).count()
     part = F.when(F.col("count") > LARGEST, F.pmod(F.xxhash64("id", "tree"), F.ceil(F.col("count") / LARGEST))).otherwise(F.lit(0))
     coded = coded.join(sized, cell).withColumn("part", part)
-    # Cells of like hash share a task's group, so that small cells don't make small batches.
-    coded = coded.withColumn("group", F.xxhash64(*cell, "part")).withColumn("bucket", F.pmod("group", F.lit(512)))
+    coded = coded.withColumn("group", F.xxhash64(*cell, "part")).withColumn("bucket", F.pmod("group", F.lit(_buckets(size * len(trees)))))
 
     def meet(t: pa.Table) -> pa.Table:
         groups = t.column("group").to_numpy()
@@ -116,7 +120,7 @@ def _from_cells(nodes: DataFrame, trees: range, bits: int, k: int, threshold: fl
     return coded.select("bucket", "group", "id", "vec").groupBy("bucket").applyInArrow(meet, ENTRIES)
 
 
-def _descend(lists: DataFrame, nodes: DataFrame, k: int, threshold: float) -> DataFrame:
+def _descend(lists: DataFrame, nodes: DataFrame, size: int, k: int, threshold: float) -> DataFrame:
     """Entries and stars from one join of neighbours of neighbours."""
     from pyspark.sql import Window
 
@@ -125,7 +129,7 @@ def _descend(lists: DataFrame, nodes: DataFrame, k: int, threshold: float) -> Da
     members = lists.select(F.col("a").alias("center"), F.col("b").alias("id")).unionAll(back.select(F.col("b").alias("center"), F.col("a").alias("id"))).unionAll(nodes.select(F.col("id").alias("center"), "id")).distinct()
     worst = lists.groupBy("a").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(F.lit(-2.0)).alias("worst"))
     members = members.join(nodes.join(worst.withColumnRenamed("a", "id"), "id", "left").select("id", "vec", F.coalesce("worst", F.lit(-2.0)).alias("worst")), "id")
-    members = members.withColumn("bucket", F.pmod(F.xxhash64("center"), F.lit(512)))
+    members = members.withColumn("bucket", F.pmod(F.xxhash64("center"), F.lit(_buckets(size * 2 * k))))
 
     def meet(t: pa.Table) -> pa.Table:
         center = t.column("center").to_numpy()
@@ -174,15 +178,15 @@ def _audit(nodes: DataFrame, roots: DataFrame, threshold: float) -> tuple[int, i
     return r[0], r[1]
 
 
-def _counts(nodes: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+def _counts(nodes: DataFrame, size: int, roots: DataFrame, threshold: float) -> DataFrame:
     """(id, links): rows that link with a vector of a connected group, itself left out; all pairs in blocks."""
     grouped = nodes.join(roots.withColumnRenamed("node", "id"), "id")
-    size = grouped.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = grouped.join(size, "root").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    blocks = grouped.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = grouped.join(blocks, "root").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "copies", "vec", "blocks")
     # Groups of one block share tasks; each pair of blocks of a larger one has its own.
-    rows = rows.withColumn("task", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(512))).otherwise(F.xxhash64("root", "i", "j")))
+    rows = rows.withColumn("task", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(_buckets(size)))).otherwise(F.xxhash64("root", "i", "j")))
 
     def run(t: pa.Table) -> pa.Table:
         roots, i, j, own, ids, copies = (t.column(c).to_numpy() for c in ("root", "i", "j", "own", "id", "copies"))
@@ -224,14 +228,14 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vec: str = "embeddi
     nodes = good.groupBy("label", "vec").agg(F.min("key").cast("long").alias("key"), F.count("*").alias("copies"))
     # Keys may repeat, so nodes have numbers of their own, fixed by writing them.
     nodes = written(nodes.withColumn("dim", F.size("vec")).withColumn("id", F.monotonically_increasing_id()), "vectors")
-    most = nodes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
+    size, most = (x or 0 for x in nodes.groupBy("label", "dim").count().agg(F.sum("count"), F.max("count")).first())
     bits = max(0, math.ceil(math.log2(max(1, most / CELL))))
-    met = written(_from_cells(nodes, range(TREES), bits, k, threshold), "near-met")
+    met = written(_from_cells(nodes, size, range(TREES), bits, k, threshold), "near-met")
     stars, lists, trees = met.where("sim is null").select("a", "b"), written(_best(met, k), "near-lists"), TREES
     for _ in range(AUDITS):
         links = lists.where(F.col("sim") >= threshold).count()
         for _ in range(ROUNDS):
-            met = written(_descend(lists, nodes, k, threshold), "near-met")
+            met = written(_descend(lists, nodes, size, k, threshold), "near-met")
             stars = stars.unionAll(met.where("sim is null").select("a", "b"))
             lists = written(_best(lists.unionByName(met), k), "near-lists")
             before, links = links, lists.where(F.col("sim") >= threshold).count()
@@ -244,10 +248,10 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vec: str = "embeddi
             history.append((true, found))
         if found == true:
             break
-        met = written(_from_cells(nodes, range(trees, trees + MORE), bits, k, threshold), "near-met")
+        met = written(_from_cells(nodes, size, range(trees, trees + MORE), bits, k, threshold), "near-met")
         trees += MORE
         stars, lists = edges.unionAll(met.where("sim is null").select("a", "b")), written(_best(lists.unionByName(met), k), "near-lists")
-    counted = _counts(nodes, roots, threshold)
+    counted = _counts(nodes, size, roots, threshold)
     placed = nodes.join(roots.withColumnRenamed("node", "id"), "id", "left").join(counted, "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = placed.groupBy("root").agg(F.min("key").alias("component_id"))
     placed = placed.join(least, "root").select("label", "vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
