@@ -34,8 +34,8 @@ from .graph import components
 
 #: Similarity as a fraction, and words of an n-gram.
 NUM, DEN, N = 75, 100, 5
-#: Signatures of a bucket, buckets at least, and signatures that a task packs at once.
-PER_BUCKET, BUCKETS, PACKED = 1_000_000, 256, 2_000_000
+#: Signatures of a bucket, buckets at least, and signatures that a task packs at once; members of small runs in a group.
+PER_BUCKET, BUCKETS, PACKED, TOGETHER = 1_000_000, 256, 1_000_000, 1000
 #: Sample from which frequent elements are learned: rows, how many of them share an element, elements kept at most.
 SAMPLE, OFTEN, FREQUENT = 20_000, 10, 200_000
 #: Sets whose elements are asked for by broadcast; more are joined by shuffle.
@@ -58,7 +58,7 @@ def _salt(seed: int) -> np.uint64:
 
 class _WordHashes(dict):
     def __missing__(self, w):
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[w] = xxhash.xxh3_64_intdigest(w)
         return h
@@ -220,7 +220,7 @@ def _runs(docs: DataFrame, text: str, signatures: Signatures, buckets: int) -> D
                 s = shingles(raw, hashes)
                 if not len(s) or (sid := set_id(s)) in seen:
                     continue
-                if len(seen) >= 500_000:
+                if len(seen) >= 200_000:
                     seen.clear()
                 seen.add(sid)
                 sigs.append(of(s))
@@ -277,21 +277,24 @@ def _elements(docs: DataFrame, key: str, text: str, owners: DataFrame) -> DataFr
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that reach the similarity, by their whole sets."""
-    one = sets.select(F.col("sid").alias("a"), F.col("set").alias("sa"), F.col("n").alias("na"))
-    two = sets.select(F.col("sid").alias("b"), F.col("set").alias("sb"), F.col("n").alias("nb"))
-    both = pairs.join(one.drop("sa"), "a").join(two.drop("sb"), "b").where((F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)).select("a", "b")
-    both = both.join(one.drop("na"), "a").join(two.drop("nb"), "b")
+    one = sets.select(F.col("sid").alias("a"), F.col("set").alias("sa"))
+    two = sets.select(F.col("sid").alias("b"), F.col("set").alias("sb"))
+    both = pairs.join(one, "a").join(two, "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 s, t = np.frombuffer(x, U), np.frombuffer(y, U)
+                if len(s) * den < len(t) * num or len(t) * den < len(s) * num:
+                    keep.append(False)
+                    continue
                 at = np.searchsorted(s, t)
                 at[at == len(s)] = 0
                 same = int((s[at] == t).sum())
                 keep.append(den * same >= num * (len(s) + len(t) - same))
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), b.column(1).filter(pa.array(keep))], ["a", "b"])
+            kept = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(kept), b.column(1).filter(kept)], ["a", "b"])
 
     return written(both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "jaccard-links")
 
@@ -309,16 +312,13 @@ def _across(runs: DataFrame, roots: DataFrame, sets: DataFrame, num: int, den: i
     A run with unconnected members has one that its least isn't connected with, so only such runs are brought together.
     """
     open_runs = written(_apart(runs.select("run", "a", "b"), roots).select("run").distinct(), "jaccard-open")
-    rows = runs.join(open_runs, "run", "left_semi")
+    rows = written(runs.join(open_runs, "run", "left_semi"), "jaccard-runs")
     members = rows.select("run", F.col("a").alias("sid")).unionAll(rows.select("run", F.col("b").alias("sid"))).distinct()
     members = members.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     members = members.join(sets.select("sid", "n", "sketch").dropDuplicates(["sid"]), "sid").select("run", "sid", "root", "n", "sketch")
 
-    def run(block: pa.Table) -> pa.Table:
-        order = np.argsort(block.column("n").to_numpy(), kind="stable")
-        sid, root, n = (block.column(c).to_numpy()[order] for c in ("sid", "root", "n"))
-        raw = block.column("sketch").to_pylist()
-        raw = [np.frombuffer(raw[i], U) for i in order]
+    def of_run(sid, root, n, raw) -> tuple[np.ndarray, np.ndarray] | None:
+        """Pairs of the members of a run, which stand by size."""
         words = np.array([len(x) for x in raw])
         # Sketches by width, each also folded to half of it: partners' widths differ by one step at most.
         wide = {w: np.stack([x for x in raw if len(x) == w]) for w in np.unique(words)}
@@ -330,17 +330,34 @@ def _across(runs: DataFrame, roots: DataFrame, sets: DataFrame, num: int, den: i
         for i in range(len(sid) - 1):
             j = np.searchsorted(n, n[i] * den // num, side="right")
             near = np.flatnonzero(root[i + 1 : j] != root[i]) + i + 1
-            for w in np.unique(words[near]):
+            for w in np.unique(words[near]) if len(near) else ():
                 those = near[words[near] == w]
                 other = wide[w] if w == words[i] else half[w]
                 differ = np.bitwise_count(other[at[those]] ^ raw[i]).sum(1)
                 those = those[differ <= (den - num) * (n[i] + n[those]) // (den + num)]
                 a.append(np.maximum(sid[those], sid[i]))
                 b.append(np.minimum(sid[those], sid[i]))
-        none = np.empty(0, np.int64)
-        return pa.table([pa.array(np.concatenate(a) if a else none), pa.array(np.concatenate(b) if b else none)], ["a", "b"])
+        return (np.concatenate(a), np.concatenate(b)) if a else None
 
-    return members.groupBy("run").applyInArrow(run, "a long, b long").distinct()
+    def run(block: pa.Table) -> pa.Table:
+        runs, n = block.column("run").to_numpy(), block.column("n").to_numpy()
+        order = np.lexsort((n, runs))
+        runs, n = runs[order], n[order]
+        sid, root = block.column("sid").to_numpy()[order], block.column("root").to_numpy()[order]
+        sketches = block.column("sketch").combine_chunks() if isinstance(block.column("sketch"), pa.ChunkedArray) else block.column("sketch")
+        cuts = np.append(np.flatnonzero(np.concatenate(([True], runs[1:] != runs[:-1]))), len(runs))
+        out = []
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            if (root[lo:hi] != root[lo]).any():
+                raw = [np.frombuffer(sketches[int(k)].as_buffer(), U) for k in order[lo:hi]]
+                if (found := of_run(sid[lo:hi], root[lo:hi], n[lo:hi], raw)) is not None:
+                    out.append(found)
+        table = np.unique(np.concatenate([np.stack(x) for x in out], axis=1), axis=1) if out else np.empty((2, 0), np.int64)
+        return pa.table([pa.array(table[0]), pa.array(table[1])], ["a", "b"])
+
+    # Runs of like hash share a task's group, as most are small; a large one has its members and their sketches in memory.
+    members = members.withColumn("bucket", F.pmod("run", F.lit(max(512, rows.count() // TOGETHER))))
+    return members.groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = NUM, den: int = DEN) -> DataFrame:
