@@ -57,7 +57,7 @@ def op8_mixing(spark, sf_dir):
 
 @_query
 def op10_line_dedup(spark, sf_dir):
-    return line_dedup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return line_dedup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), whole=True)
 
 
 @_query
