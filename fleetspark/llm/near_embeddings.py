@@ -4,13 +4,13 @@ A neighbour graph starts from cells of random hyperplanes and is refined by join
 brings its neighbours, forward and backward, together, and each of them keeps the best it has met. Wherever vectors meet,
 those that reach the threshold are also noted as connected, by a star to the least of them, so that links beyond the ends
 of the lists aren't lost. A vector whose list is full of links is saturated: its list is enlarged to its whole connected
-group, which is compared in blocks, all pairs, and counted where it is compared. A bounded sample of vectors is compared
-with all rows to audit recall; while it misses links, further cells are drawn.
+group, which is compared in blocks, all pairs, and counted where it is compared. A sample of the vectors of every
+label that cells divide is compared with all rows of the label to audit recall; while it misses links, further cells are
+drawn and lists that are full of links are let grow.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,9 +22,9 @@ from .common import shipped, written
 from .graph import components
 
 THRESHOLD = 0.98
-#: Neighbours in a list, hyperplane trees drawn at first and in each further round, rounds of descent and of audit at most.
-K, TREES, MORE, ROUNDS, AUDITS = 10, 6, 4, 4, 4
-#: Vectors of a cell aimed at, and at most; of a block of a group; audited; brought together in a task's group.
+#: Neighbours in a list, hyperplane trees drawn at first and in each further round, rounds of descent at most.
+K, TREES, MORE, ROUNDS = 10, 6, 4, 4
+#: Vectors of a cell aimed at, and at most; of a block of a group; audited at once; brought together in a task's group.
 CELL, LARGEST, BLOCK, AUDITED, TOGETHER = 128, 512, 512, 256, 2000
 
 
@@ -81,8 +81,8 @@ def _table(parts: list[list[np.ndarray]]) -> pa.Table:
     return pa.table([pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)), pa.array(cols[2], pa.float64(), from_pandas=True)], ["a", "b", "sim"])
 
 
-def _from_cells(nodes: DataFrame, size: int, trees: range, bits: int, k: int, threshold: float) -> DataFrame:
-    """Entries and stars from the cells of random hyperplanes; a cell of more than LARGEST is dealt out at random."""
+def _from_cells(nodes: DataFrame, size: int, trees: range, k: int, threshold: float) -> DataFrame:
+    """Entries and stars from the cells of random hyperplanes, ``bits`` of them for a vector, as its label needs; a cell of more than LARGEST is dealt out at random."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -91,17 +91,20 @@ def _from_cells(nodes: DataFrame, size: int, trees: range, bits: int, k: int, th
             dims = b.column("dim").to_numpy()
             for dim in np.unique(dims):
                 own = b.filter(pa.array(dims == dim))
-                x = _matrix(own.column("vec"))
+                x, some = _matrix(own.column("vec")), own.column("bits").to_numpy()
+                bits = int(some.max())
                 for tree in trees:
-                    planes = np.random.default_rng((int(dim), tree)).standard_normal((int(dim), max(1, bits)))
+                    planes = np.random.default_rng((int(dim), tree)).standard_normal((max(1, bits), int(dim))).T
+                    # A label of fewer vectors takes the first planes only.
                     codes = ((x @ planes > 0) * (1 << np.arange(max(1, bits)))).sum(1) if bits else np.zeros(len(x), np.int64)
+                    codes &= (1 << some.astype(np.int64)) - 1
                     yield pa.RecordBatch.from_arrays([own.column("label"), own.column("dim"), pa.array([tree] * len(x), pa.int32()), pa.array(codes.astype(np.int64)), own.column("id"), own.column("vec")], ["label", "dim", "tree", "code", "id", "vec"])
 
     kind = nodes.schema
     schema = f"label {kind['label'].dataType.simpleString()}, dim int, tree int, code long, id long, vec {kind['vec'].dataType.simpleString()}"
-    coded = nodes.select("label", "dim", "id", "vec").mapInArrow(code, schema)
+    coded = nodes.select("label", "dim", "bits", "id", "vec").mapInArrow(code, schema)
     cell = ["label", "dim", "tree", "code"]
-    sized = nodes.select("label", "dim", "id", "vec").mapInArrow(code, schema).groupBy(*cell).count()
+    sized = nodes.select("label", "dim", "bits", "id", "vec").mapInArrow(code, schema).groupBy(*cell).count()
     part = F.when(F.col("count") > LARGEST, F.pmod(F.xxhash64("id", "tree"), F.ceil(F.col("count") / LARGEST))).otherwise(F.lit(0))
     coded = coded.join(sized, cell).withColumn("part", part)
     coded = coded.withColumn("group", F.xxhash64(*cell, "part")).withColumn("bucket", F.pmod("group", F.lit(_buckets(size * len(trees)))))
@@ -120,16 +123,16 @@ def _from_cells(nodes: DataFrame, size: int, trees: range, bits: int, k: int, th
     return coded.select("bucket", "group", "id", "vec").groupBy("bucket").applyInArrow(meet, ENTRIES)
 
 
-def _descend(lists: DataFrame, nodes: DataFrame, size: int, k: int, threshold: float) -> DataFrame:
+def _descend(lists: DataFrame, nodes: DataFrame, size: int, k: int, full: int, threshold: float) -> DataFrame:
     """Entries and stars from one join of neighbours of neighbours."""
     from pyspark.sql import Window
 
     # Backward neighbours, as many as a list holds and the nearest of them; forward lists are never cut.
-    back = lists.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("sim"), "a"))).where(F.col("r") <= k)
+    back = lists.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("sim"), "a"))).where(F.col("r") <= full)
     members = lists.select(F.col("a").alias("center"), F.col("b").alias("id")).unionAll(back.select(F.col("b").alias("center"), F.col("a").alias("id"))).unionAll(nodes.select(F.col("id").alias("center"), "id")).distinct()
-    worst = lists.groupBy("a").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(F.lit(-2.0)).alias("worst"))
+    worst = lists.groupBy("a").agg(F.when((F.count("*") >= k) & (F.count("*") < full) & (F.min("sim") >= threshold), F.lit(threshold - 1e-9)).when(F.count("*") >= k, F.min("sim")).otherwise(F.lit(-2.0)).alias("worst"))
     members = members.join(nodes.join(worst.withColumnRenamed("a", "id"), "id", "left").select("id", "vec", F.coalesce("worst", F.lit(-2.0)).alias("worst")), "id")
-    members = members.withColumn("bucket", F.pmod(F.xxhash64("center"), F.lit(_buckets(size * 2 * k))))
+    members = members.withColumn("bucket", F.pmod(F.xxhash64("center"), F.lit(_buckets(size * 2 * full))))
 
     def meet(t: pa.Table) -> pa.Table:
         center = t.column("center").to_numpy()
@@ -137,22 +140,42 @@ def _descend(lists: DataFrame, nodes: DataFrame, size: int, k: int, threshold: f
         center, ids, worst = center[order], t.column("id").to_numpy()[order], t.column("worst").to_numpy()[order]
         x = _matrix(t.column("vec"))[order]
         cuts = np.append(np.flatnonzero(np.concatenate(([True], center[1:] != center[:-1]))), len(center))
-        return _table([_met(ids[i:j], x[i:j], worst[i:j], k, threshold) for i, j in zip(cuts[:-1], cuts[1:]) if j - i > 1])
+        return _table([_met(ids[i:j], x[i:j], worst[i:j], full, threshold) for i, j in zip(cuts[:-1], cuts[1:]) if j - i > 1])
 
     return members.select("bucket", "center", "id", "worst", "vec").groupBy("bucket").applyInArrow(meet, ENTRIES)
 
 
-def _best(entries: DataFrame, k: int) -> DataFrame:
+def _best(entries: DataFrame, k: int, full: int, threshold: float) -> DataFrame:
+    """The nearest k of each vector, and up to ``full`` that are links."""
     from pyspark.sql import Window
 
     once = entries.where("sim is not null").groupBy("a", "b").agg(F.max("sim").alias("sim"))
-    return once.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))).where(F.col("r") <= k).drop("r")
+    return once.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))).where((F.col("r") <= k) | ((F.col("r") <= full) & (F.col("sim") >= threshold))).drop("r")
 
 
-def _audit(nodes: DataFrame, roots: DataFrame, threshold: float) -> tuple[int, int]:
+def _asked(nodes: DataFrame) -> tuple[DataFrame, int]:
+    """(id, part) of the vectors to audit, and the number of parts: of every label that cells divide as many as the root of
+    its vectors, AUDITED at least; smaller labels are one cell, compared all pairs."""
+    from pyspark.sql import Window
+
+    rank = F.row_number().over(Window.partitionBy("label", "dim").orderBy("h", "id"))
+    # Drawn from somewhat more than are needed, so that no window holds a label's whole table.
+    want = F.greatest(F.lit(float(AUDITED)), F.sqrt("n"))
+    drawn = nodes.where("bits > 0").withColumn("h", F.xxhash64("id", F.lit(5))).where(F.shiftrightunsigned("h", 11) / float(1 << 53) * F.col("n") <= 2 * want + 50)
+    ids = written(drawn.withColumn("r", rank).where(F.col("r") <= want).select("id"), "near-asked")
+    parts = max(1, -(-ids.count() // (16 * AUDITED)))
+    return ids.withColumn("part", F.pmod(F.xxhash64("id", F.lit(6)), F.lit(parts))), parts
+
+
+def _audit(nodes: DataFrame, roots: DataFrame, threshold: float, asked: tuple[DataFrame, int]) -> tuple[int, int]:
     """(links of the audited vectors with all rows, those of them within one group)."""
+    got = [_audit_part(nodes, roots, threshold, asked[0].where(F.col("part") == i).select("id")) for i in range(asked[1])]
+    return sum(t for t, _ in got), sum(f for _, f in got)
+
+
+def _audit_part(nodes: DataFrame, roots: DataFrame, threshold: float, ids: DataFrame) -> tuple[int, int]:
     placed = nodes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "label", "dim", "vec", F.coalesce("root", "id").alias("root"))
-    asked = placed.orderBy(F.xxhash64("id", F.lit(5))).limit(AUDITED).collect()
+    asked = placed.join(ids, "id", "left_semi").collect()
     queries = shipped(nodes.sparkSession, [(r["id"], r["label"], r["dim"], np.array(r["vec"], np.float64), r["root"]) for r in asked])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,29 +251,33 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vec: str = "embeddi
     nodes = good.groupBy("label", "vec").agg(F.min("key").cast("long").alias("key"), F.count("*").alias("copies"))
     # Keys may repeat, so nodes have numbers of their own, fixed by writing them.
     nodes = written(nodes.withColumn("dim", F.size("vec")).withColumn("id", F.monotonically_increasing_id()), "vectors")
-    size, most = (x or 0 for x in nodes.groupBy("label", "dim").count().agg(F.sum("count"), F.max("count")).first())
-    bits = max(0, math.ceil(math.log2(max(1, most / CELL))))
-    met = written(_from_cells(nodes, size, range(TREES), bits, k, threshold), "near-met")
-    stars, lists, trees = met.where("sim is null").select("a", "b"), written(_best(met, k), "near-lists"), TREES
-    for _ in range(AUDITS):
+    sizes = nodes.groupBy("label", "dim").agg(F.count("*").alias("n"))
+    size = sizes.agg(F.sum("n")).first()[0] or 0
+    celled = nodes.join(sizes.withColumn("bits", F.greatest(F.lit(0), F.ceil(F.log2(F.lit(sizes.agg(F.max("n")).first()[0] or 1) / CELL))).cast("int")), ["label", "dim"])
+    full, asked = k, _asked(celled)
+    met = written(_from_cells(celled, size, range(TREES), k, threshold), "near-met")
+    stars, lists, trees = met.where("sim is null").select("a", "b"), written(_best(met, k, full, threshold), "near-lists"), TREES
+    while True:
         links = lists.where(F.col("sim") >= threshold).count()
         for _ in range(ROUNDS):
-            met = written(_descend(lists, nodes, size, k, threshold), "near-met")
+            met = written(_descend(lists, nodes, size, k, full, threshold), "near-met")
             stars = stars.unionAll(met.where("sim is null").select("a", "b"))
-            lists = written(_best(lists.unionByName(met), k), "near-lists")
+            lists = written(_best(lists.unionByName(met), k, full, threshold), "near-lists")
             before, links = links, lists.where(F.col("sim") >= threshold).count()
             if links == before:
                 break
         edges = written(stars.unionAll(lists.where(F.col("sim") >= threshold).select("a", "b")).distinct(), "near-edges")
         roots = components(edges)
-        true, found = _audit(nodes, roots, threshold)
+        true, found = _audit(nodes, roots, threshold, asked)
         if history is not None:
             history.append((true, found))
         if found == true:
             break
-        met = written(_from_cells(nodes, size, range(trees, trees + MORE), bits, k, threshold), "near-met")
+        # Each further tree may bring any link together, so the audit is whole in the end.
+        full *= 2
+        met = written(_from_cells(celled, size, range(trees, trees + MORE), full, threshold), "near-met")
         trees += MORE
-        stars, lists = edges.unionAll(met.where("sim is null").select("a", "b")), written(_best(lists.unionByName(met), k), "near-lists")
+        stars, lists = edges.unionAll(met.where("sim is null").select("a", "b")), written(_best(lists.unionByName(met), k, full, threshold), "near-lists")
     counted = _counts(nodes, size, roots, threshold)
     placed = nodes.join(roots.withColumnRenamed("node", "id"), "id", "left").join(counted, "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = placed.groupBy("root").agg(F.min("key").alias("component_id"))

@@ -51,3 +51,15 @@ def test_same_as_brute_force(spark, monkeypatch):
 
 def test_empty(spark):
     assert N.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
+
+
+def test_search_goes_on_until_the_audit_is_whole(spark, monkeypatch):
+    """More failed audits than there were rounds."""
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, [float(x) for x in rng.standard_normal(4)], 0) for i in range(40)], "vec_id long, embedding array<float>, label int")
+    answers = [(3, 2)] * 5 + [(3, 3)]
+    monkeypatch.setattr(N, "ROUNDS", 1)
+    monkeypatch.setattr(N, "_audit", lambda *a: answers.pop(0))
+    history = []
+    N.near_duplicates(df, history=history)
+    assert history == [(3, 2)] * 5 + [(3, 3)]
