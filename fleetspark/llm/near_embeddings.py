@@ -253,7 +253,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vec: str = "embeddi
     nodes = written(nodes.withColumn("dim", F.size("vec")).withColumn("id", F.monotonically_increasing_id()), "vectors")
     sizes = nodes.groupBy("label", "dim").agg(F.count("*").alias("n"))
     size = sizes.agg(F.sum("n")).first()[0] or 0
-    celled = nodes.join(sizes.withColumn("bits", F.greatest(F.lit(0), F.ceil(F.log2(F.lit(sizes.agg(F.max("n")).first()[0] or 1) / CELL))).cast("int")), ["label", "dim"])
+    celled = nodes.join(sizes.withColumn("bits", F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / CELL))).cast("int")), ["label", "dim"])
     full, asked = k, _asked(celled)
     met = written(_from_cells(celled, size, range(TREES), k, threshold), "near-met")
     stars, lists, trees = met.where("sim is null").select("a", "b"), written(_best(met, k, full, threshold), "near-lists"), TREES

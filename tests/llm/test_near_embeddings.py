@@ -53,6 +53,18 @@ def test_empty(spark):
     assert N.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
 
 
+def test_cells_follow_each_label(spark):
+    """A small label beside a large one is one cell: each of its vectors gets a full list."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.standard_normal(8)], 8, int(i >= 3000), 5 if i < 3000 else 0) for i in range(3060)]
+    df = spark.createDataFrame(rows, "id long, vec array<float>, dim int, label int, bits int")
+    met = N._from_cells(df, 3060, range(1), 10, 0.98).where("sim is not null and a >= 3000")
+    got = {r.a: r.n for r in met.groupBy("a").agg(F.count("*").alias("n")).collect()}
+    assert got == {i: 10 for i in range(3000, 3060)}
+
+
 def test_search_goes_on_until_the_audit_is_whole(spark, monkeypatch):
     """More failed audits than there were rounds."""
     rng = np.random.default_rng(3)
