@@ -3,7 +3,8 @@
 A page is a sequence of text blocks. Each block has a tag path: its block-level elements from the root to the leaf, with
 inline elements left out. For each path of a page, the text length and punctuation over all its blocks are summed and
 divided by its number of blocks; each path's ratio is smoothed with those of the paths under the same parent, text and
-punctuation ratios are fused by their product, and paths above a share of the best one are content.
+punctuation ratios are fused by their product, and paths above a share of the best one are content. What holds a content
+path is a container, and all its blocks are content, however short: lists, tables, captions and code beside paragraphs.
 """
 
 from __future__ import annotations
@@ -37,6 +38,12 @@ HINT = re.compile(
     re.I,
 )
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Of these words, those that are also topics: as the id of a section within the article they don't mark it.
+TOPICS = frozenset("side related popular trending ad ads advertisement advertising promotion notice alert cookies cookie consent gdpr newsletter login discussion sharing social search form copyright legal disclaimer navigation navbar menu header footer tag tags".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CLASS_ROLE = re.compile(r"\b(?:class|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Parts of a text, which belong to the container around them.
+PARTS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr th td figure figcaption pre blockquote details summary hr address".split())
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 #: Which open elements a start tag closes.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -49,6 +56,29 @@ DEPTH = 512
 SHARE = 0.04
 
 
+def _hinted(tag: str, marks: str, attributes: str, inside: bool) -> bool:
+    """Whether class, id or role mark an element as not of the article; ids of its headings and topics of its sections don't."""
+    if not HINT.search(marks):
+        return False
+    if tag not in HEADINGS and not (tag == "section" and inside):
+        return True
+    if HINT.search(" ".join(a or b or c for a, b, c in CLASS_ROLE.findall(attributes))):
+        return True
+    return tag == "section" and any(w.lower() not in TOPICS for w in HINT.findall(marks))
+
+
+def _container(path: str) -> tuple[str, bool]:
+    """The path of what holds a path, without the parts of a text, and whether all within it is content: the outermost
+    article, or else the nearest element that isn't the whole page."""
+    steps = path.split("/")
+    for i, x in enumerate(steps):
+        if x.split(".")[0] == "article":
+            return "/".join(steps[: i + 1]), True
+    while steps and steps[-1].split(".")[0] in PARTS:
+        steps.pop()
+    return "/".join(steps), bool(steps) and steps[-1].split(".")[0] not in ("html", "body", "main")
+
+
 def blocks(html: str) -> list[tuple[str, str, bool, bool, int]]:
     """(path, text, away, main, characters in links) of each block with text, in page order; white space is made plain."""
     out, stack, buffer, linked, at = [], [], [], 0, 0  # stack: (tag, label, away, main)
@@ -105,8 +135,8 @@ def blocks(html: str) -> list[tuple[str, str, bool, bool, int]]:
         attributes = m[4]
         marks = " ".join(a or b or c for a, b, c in ATTRIBUTE.findall(attributes)) if attributes else ""
         parent = stack[-1] if stack else ("", "", False, False)
-        label = f"{tag}.{'.'.join(sorted(re.sub(r'[0-9]+', '', marks).split()))}" if marks else tag
-        away = parent[2] or tag in AWAY or bool(tag not in MAIN and tag not in ("html", "body") and (marks and HINT.search(marks) or attributes and HIDDEN.search(attributes)))
+        label = f"{tag}.{'.'.join(sorted(re.sub(r'[0-9]+', '', marks).replace('/', '|').split()))}" if marks else tag
+        away = parent[2] or tag in AWAY or bool(tag not in MAIN and tag not in ("html", "body") and (marks and _hinted(tag, marks, attributes, parent[3]) or attributes and HIDDEN.search(attributes)))
         if len(stack) < DEPTH and not (attributes and attributes.rstrip().endswith("/") and tag not in INLINE and tag not in BREAKS_P):
             stack.append((tag, label, away, parent[3] or tag in MAIN))
     text(html[at:])
@@ -139,7 +169,18 @@ def main_text(html: str | None, share: float = SHARE) -> str:
         for p in paths:
             fused[p] = (ratio[p][0] + mean_text) / 2 * (ratio[p][1] + mean_marks) / 2
     least = share * max(fused.values())
-    return " ".join(b[1] for b in kept if fused[b[0]] >= least)
+    holders = {_container(p) for p in sums if fused[p] >= least}
+    within = {c for c, whole in holders if whole}
+    loose = {c for c, whole in holders if not whole}
+
+    def held(path: str) -> bool:
+        if _container(path)[0] in within or _container(path)[0] in loose:
+            return True
+        steps = path.split("/")
+        return any("/".join(steps[:i]) in within for i in range(1, len(steps)))
+
+    content = {p for p in sums if fused[p] >= least or held(p)}
+    return " ".join(b[1] for b in kept if b[0] in content)
 
 
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url"), share: float = SHARE) -> DataFrame:

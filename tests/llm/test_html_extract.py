@@ -37,3 +37,19 @@ def test_synthetic_pages():
     for (html,) in duckdb.sql(f"SELECT html FROM '{path}'").fetchall():
         body = html[html.find("<article>") + 9 :].split("</article>")[0]
         assert main_text(html) == " ".join(unescape(re.sub(r"<[^>]*>", " ", body)).split())
+
+
+def test_short_parts_of_an_article():
+    long = "A sentence that goes on, as they do, for long. " * 6
+    parts = "<ul><li>twenty plain letters<li>ten more</ul><table><caption>Counts</caption><tr><td>one<td>2</table><pre><code>x = 1</code></pre><figure><figcaption>A dog</figcaption></figure>"
+    want = f"{long}twenty plain letters ten more Counts one 2 x = 1 A dog"
+    for around in ("<article>{}</article>", "<main>{}</main>", "<div class=post>{}</div>", "{}"):
+        page = f"<body><div class=top><p>Home</div>{around.format(f'<p>{long}</p>{parts}')}</body>"
+        assert main_text(page) == want, around
+    assert main_text(f"<article><div class=text><p>{long}</div><div class=data>{parts}</div></article>") == want
+
+
+def test_ids_of_headings_and_sections():
+    long = "A sentence that goes on, as they do, for long. " * 6
+    page = f"<article><h2 id=search>Search</h2><p>{long}</p><section id='discussion'><h2 id='legal'>Results</h2><p>{long}</p></section><section id=comments><p>{long}</p></section><div id=related>More</div></article>"
+    assert main_text(page) == f"Search {long}Results {long}".strip()
