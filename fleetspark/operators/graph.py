@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetspark.storage import written
+from fleetspark.storage import discard, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -13,8 +13,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternates large and small stars: every node hands its greater neighbours, then its lesser ones, to the least of them,
     so paths shrink by half and a round moves as many rows as there are edges. Each round is written to the shared folder.
-    A node of very many edges is spread by its other ends: the least neighbour is found by partial aggregation and only
-    joined back. Loops and repeated edges are harmless; a null end drops the edge; no edges give no rows.
+    The least neighbour of a node of very many edges is found by partial aggregation; where it is joined back, adaptive
+    execution splits the edges of such a node between tasks, as the other side is one row a node and the rows are shuffled
+    again anyway. Loops and repeated edges are harmless; a null end drops the edge; no edges give no rows. Tables of past
+    rounds are deleted.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     e = written(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
@@ -27,7 +29,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
-        e = written(small.where("u <> v").distinct(), "edges")
+        last, e = e, written(small.where("u <> v").distinct(), "edges")
+        discard(last, large)
         now = _digest(e)
         if now == size:
             break

@@ -247,3 +247,26 @@ def test_streams_give_what_batches_give(spark, tmp_path):
     want = {r.event_id: r.loaded for r in p.withColumn("known", known).where("known").select("event_id").join(want, "event_id").collect()}
     got = {r.event_id: r.loaded for r in spark.sql("select * from states").collect()}
     assert {k: got[k] for k in want} == want
+
+
+def test_checkpoint_folder_unset(spark, monkeypatch):
+    from fleetspark import storage
+
+    get = type(spark.conf).get
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, *d: d[0] if key == "spark.checkpoint.dir" else get(self, key, *d))
+    t = storage.written(spark.range(3), "t")
+    assert t.count() == 3 and storage.shared_dir(spark) == storage.shared_dir(spark)
+    path = storage._PATHS[t]
+    storage.discard(t)
+    assert not os.path.exists(path.removeprefix("file://"))
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        storage.shared_dir(spark)
+
+
+def test_broadcast_by_bytes(spark):
+    from fleetspark.storage import bounded
+
+    df = spark.range(1000).selectExpr("id", "cast(id as string) as s")
+    hinted = lambda d: "broadcast" in d._jdf.queryExecution().logical().toString().lower() or "ResolvedHint" in d._jdf.queryExecution().analyzed().toString()
+    assert hinted(bounded(df)) and not hinted(bounded(df, 1000)) and hinted(bounded(df.limit(0), 0))
