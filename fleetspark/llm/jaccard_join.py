@@ -13,33 +13,40 @@ Cost-based allocation keeps the index small and free of hot entries:
   segment differs by one element at most, so equal segments or neighbours meet, empty ones included.
 A pair with one set that succeeds in a tier is found there; a pair without one goes on to the next tier.
 
-Signatures travel in packed blocks by hash bucket; a bucket's task finds the signatures that several sets share. Of each
-such run the sets are first compared with one leader; pairs of a run that the links found so far don't connect are
-compared too, after a bound by parity sketches. Every comparison is exact, on the whole sets.
+Texts are cut and hashed once: their signatures travel in packed blocks by hash bucket, with their keys and sizes beside
+them; a bucket's task finds the signatures that several sets share. Of each such run the sets are first compared with one
+leader. Members of a run that the links found so far don't connect are looked at in blocks of BLOCK by BLOCK members: parity
+sketches give a lower bound of how much two sets differ, and a task gives no pairs but a star for each group of members
+that the bound leaves together, so its output is linear. Sets so connected are brought together in blocks again, compared
+exactly on the whole sets, and each task gives a spanning forest of the links it finds. No pair that meets in a run and
+isn't connected yet is left out.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import ArrayType, StructField, StructType
 
-from .common import LOWER, shipped, written
-from .graph import components
+from fleetspark.operators.graph import components
+
+from .common import LOWER, bounded, discard, shipped, written
 
 #: Similarity as a fraction, and words of an n-gram.
 NUM, DEN, N = 75, 100, 5
 #: Signatures of a bucket, buckets at least, and signatures that a task packs at once; members of small runs in a group.
 PER_BUCKET, BUCKETS, PACKED, TOGETHER = 1_000_000, 256, 1_000_000, 1000
+#: Members of a run or of a group of candidates that a task compares at once, all with all or with as many others.
+BLOCK = 512
 #: Sample from which frequent elements are learned: rows, how many of them share an element, elements kept at most.
 SAMPLE, OFTEN, FREQUENT = 20_000, 10, 200_000
-#: Sets whose elements are asked for by broadcast; more are joined by shuffle.
-SMALL = 1_000_000
 #: Bits of a sketch at least; it has two a shingle, up to a power of two.
 SKETCH = 256
 U = np.uint64
@@ -164,20 +171,6 @@ class Signatures:
         return np.unique(np.concatenate([_mix(sums + salt(np.arange(segments, dtype=U))), _mix(sums[segment.astype(np.int64)] - x + salt(segment))]))
 
 
-def _sets(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, n, sid) of each row; sid is null without words."""
-    source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    schema = StructType([source.schema["key"], *StructType.fromDDL("n long, sid long")])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _WordHashes()
-        for b in batches:
-            found = [shingles(raw, hashes) for raw in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([set_id(s) if len(s) else None for s in found], pa.int64())], schema.names)
-
-    return source.mapInArrow(run, schema)
-
-
 def _frequent(docs: DataFrame, text: str, rows: int) -> np.ndarray:
     """Hashes that stand in at least OFTEN texts of a sample of about SAMPLE: a hint of bounded size, never a condition."""
     share = max(1, rows // SAMPLE)
@@ -193,12 +186,17 @@ def _frequent(docs: DataFrame, text: str, rows: int) -> np.ndarray:
     return np.sort(np.array([r["h"] for r in common.select("h").collect()], np.int64).view(U))
 
 
-def _runs(docs: DataFrame, text: str, signatures: Signatures, buckets: int) -> DataFrame:
-    """Sets that share a signature: (run, a, b) with b the least set of the run and a another; run is null for a pair."""
+def _met(docs: DataFrame, key: str, text: str, signatures: Signatures, buckets: int) -> DataFrame:
+    """Rows of two sorts. Of texts: key, n (size of the set) and a (its name, null without words). Of sets that share a
+    signature: run, a and b, with b the least set of the run and a another; run is 0 for a pair."""
     ship = shipped(docs.sparkSession, signatures)
+    source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    kind = source.schema["key"].dataType
+    packed_schema = StructType([*StructType.fromDDL("bucket long, sigs binary, sids binary, ns binary"), StructField("keys", ArrayType(kind))])
+    met_schema = StructType([*StructType.fromDDL("run long, a long, b long, n long"), StructField("key", kind)])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, hashes, seen = ship().of, _WordHashes(), set()
+        of, hashes, seen, turn = ship().of, _WordHashes(), set(), 0
         sigs, sids, size = [], [], 0
 
         def flush():
@@ -213,12 +211,15 @@ def _runs(docs: DataFrame, text: str, signatures: Signatures, buckets: int) -> D
             rows = [(int(bucket[i]), low[i:j].tobytes() + high[i:j].tobytes(), owner[i:j].tobytes()) for i, j in zip(starts, ends)]
             for k in range(0, len(rows), 200):
                 b, x, y = zip(*rows[k : k + 200])
-                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(x, pa.binary()), pa.array(y, pa.binary())], ["bucket", "sigs", "sids"])
+                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(x, pa.binary()), pa.array(y, pa.binary()), pa.nulls(len(b), pa.binary()), pa.nulls(len(b), pa.list_(keys.type))], packed_schema.names)
 
         for b in batches:
-            for raw in b.column(0).cast(pa.binary()).to_pylist():
+            keys, own, counts = b.column(0), [], []
+            for raw in b.column(1).cast(pa.binary()).to_pylist():
                 s = shingles(raw, hashes)
-                if not len(s) or (sid := set_id(s)) in seen:
+                sid = set_id(s) if len(s) else 0
+                own.append(sid), counts.append(len(s))
+                if not len(s) or sid in seen:
                     continue
                 if len(seen) >= 200_000:
                     seen.clear()
@@ -229,17 +230,30 @@ def _runs(docs: DataFrame, text: str, signatures: Signatures, buckets: int) -> D
                 if size >= PACKED:
                     yield from flush()
                     sigs, sids, size = [], [], 0
+            if len(own):
+                turn += 1
+                at = zlib.crc32(np.array(own[:8] + [turn], np.int64).tobytes()) % buckets
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([at], pa.int64()), pa.nulls(1, pa.binary()), pa.array([np.array(own, np.int64).tobytes()]), pa.array([np.array(counts, np.int64).tobytes()]), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)],
+                    packed_schema.names,
+                )
         if size:
             yield from flush()
 
     def meet(block: pa.Table) -> pa.Table:
-        sig = np.concatenate([np.frombuffer(x[: len(x) // 5 * 4], np.uint32) | np.frombuffer(x[len(x) // 5 * 4 :], np.uint8).astype(U) << U(32) for x in block.column("sigs").to_pylist()])
-        sid = np.concatenate([np.frombuffer(x, np.int64) for x in block.column("sids").to_pylist()])
+        texts = pc.is_valid(block.column("ns"))
+        alone, block = block.filter(texts), block.filter(pc.invert(texts))
+        keys, own, n = alone.column("keys").combine_chunks(), b"".join(alone.column("sids").to_pylist()), b"".join(alone.column("ns").to_pylist())
+        keys = (pa.concat_arrays(keys.chunks) if isinstance(keys, pa.ChunkedArray) else keys).flatten()
+        own, n = np.frombuffer(own, np.int64), np.frombuffer(n, np.int64)
+        none = np.empty(0, U)
+        sig = np.concatenate([none, *(np.frombuffer(x[: len(x) // 5 * 4], np.uint32) | np.frombuffer(x[len(x) // 5 * 4 :], np.uint8).astype(U) << U(32) for x in block.column("sigs").to_pylist())])
+        sid = np.frombuffer(b"".join(block.column("sids").to_pylist()), np.int64)
         order = np.lexsort((sid, sig))
         sig, sid = sig[order], sid[order]
-        fresh = np.concatenate(([True], (sig[1:] != sig[:-1]) | (sid[1:] != sid[:-1])))
+        fresh = np.append(True, (sig[1:] != sig[:-1]) | (sid[1:] != sid[:-1]))[: len(sig)]
         sig, sid = sig[fresh], sid[fresh]
-        starts = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+        starts = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])[: len(sig)])
         length = np.diff(np.append(starts, len(sig)))
         shared = length > 1
         starts, length = starts[shared], length[shared]
@@ -251,17 +265,23 @@ def _runs(docs: DataFrame, text: str, signatures: Signatures, buckets: int) -> D
         least = sid[starts]
         table = np.unique(np.stack([np.where(length > 2, named, 0)[of_run], member, least[of_run]]), axis=1) if len(starts) else np.empty((3, 0), np.int64)
         table = table[:, table[1] != table[2]]
-        return pa.table([pa.array(table[0], pa.int64()), pa.array(table[1], pa.int64()), pa.array(table[2], pa.int64())], ["run", "a", "b"])
+        more, width = pa.nulls, table.shape[1]
+        columns = [
+            pa.concat_arrays([pa.array(table[0]), more(len(n), pa.int64())]),
+            pa.concat_arrays([pa.array(table[1]), pa.array(own, mask=n == 0)]),
+            pa.concat_arrays([pa.array(table[2]), more(len(n), pa.int64())]),
+            pa.concat_arrays([more(width, pa.int64()), pa.array(n)]),
+            pa.concat_arrays([more(width, keys.type), keys]),
+        ]
+        return pa.table(columns, met_schema.names)
 
-    packed = docs.select(F.col(text).alias("text")).mapInArrow(pack, "bucket long, sigs binary, sids binary")
-    return packed.groupBy("bucket").applyInArrow(meet, "run long, a long, b long")
+    return source.mapInArrow(pack, packed_schema).groupBy("bucket").applyInArrow(meet, met_schema)
 
 
 def _elements(docs: DataFrame, key: str, text: str, owners: DataFrame) -> DataFrame:
     """(sid, n, sketch, set) of the rows whose key is in ``owners``, one for each set that is asked for; the set as packed
     hashes in order. Rows that repeat a key give more sets or repeat one, which does no harm below."""
-    own = owners.select(F.col("key").alias("__own")).distinct()
-    own = F.broadcast(own) if owners.count() <= SMALL else own
+    own = bounded(owners.select(F.col("key").alias("__own")).distinct())
     among = docs.join(own, F.col(key).eqNullSafe(F.col("__own")), "left_semi").select(F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,6 +295,16 @@ def _elements(docs: DataFrame, key: str, text: str, owners: DataFrame) -> DataFr
     return written(among.mapInArrow(run, "sid long, n long, sketch binary, set binary"), "jaccard-sets")
 
 
+def _linked(s: np.ndarray, t: np.ndarray, num: int, den: int) -> bool:
+    """Whether two sets of sorted hashes reach the similarity."""
+    if len(s) * den < len(t) * num or len(t) * den < len(s) * num:
+        return False
+    at = np.searchsorted(s, t)
+    at[at == len(s)] = 0
+    same = int((s[at] == t).sum())
+    return den * same >= num * (len(s) + len(t) - same)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that reach the similarity, by their whole sets."""
     one = sets.select(F.col("sid").alias("a"), F.col("set").alias("sa"))
@@ -285,14 +315,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
         for b in batches:
             keep = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                s, t = np.frombuffer(x, U), np.frombuffer(y, U)
-                if len(s) * den < len(t) * num or len(t) * den < len(s) * num:
-                    keep.append(False)
-                    continue
-                at = np.searchsorted(s, t)
-                at[at == len(s)] = 0
-                same = int((s[at] == t).sum())
-                keep.append(den * same >= num * (len(s) + len(t) - same))
+                keep.append(_linked(np.frombuffer(x, U), np.frombuffer(y, U), num, den))
             kept = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(kept), b.column(1).filter(kept)], ["a", "b"])
 
@@ -301,63 +324,139 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """The rows of ``pairs`` whose a and b the links don't connect yet."""
-    named = F.broadcast(roots) if roots.count() <= SMALL else roots
+    named = bounded(roots)
     p = pairs.join(named.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(named.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
     return p.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select(*pairs.columns)
 
 
+def _in_blocks(members: DataFrame, group: str, rows: int) -> DataFrame:
+    """``members`` (group, sid, ...) with task, i, j and own: a group of more than BLOCK members is dealt into blocks, each
+    pair of which, i <= j, is a task of its own; smaller groups share tasks by their hash."""
+    large = members.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    m = members.join(large, group, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    m = m.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    m = m.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64(group), F.lit(max(512, rows // TOGETHER)))).otherwise(F.xxhash64(group, "i", "j"))
+    return m.withColumn("task", task).drop("blocks", "other")
+
+
+def _of_blocks(t: pa.Table, group: str, compare) -> pa.Table:
+    """(a, b) from ``compare(rows, left)`` for each group and pair of blocks of a task: rows stand by size, left tells the
+    first block of two, or is null where a block meets itself."""
+    g, i, j, n, own = (t.column(c).to_numpy() for c in (group, "i", "j", "n", "own"))
+    order = np.lexsort((n, j, i, g))
+    key = np.stack([g[order], i[order], j[order]])
+    cuts = np.append(np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(0))), len(order))
+    out = [np.empty((2, 0), np.int64)]
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        at = order[lo:hi]
+        if hi - lo > 1 and (found := compare(at, own[at] == i[at] if i[at[0]] != j[at[0]] else None)) is not None:
+            out.append(found)
+    table = np.unique(np.concatenate(out, axis=1), axis=1)
+    return pa.table([pa.array(table[0]), pa.array(table[1])], ["a", "b"])
+
+
+def _narrowed(raw: list[bytes], width: int) -> np.ndarray:
+    """Sketches folded to ``width`` bytes, as rows of 64-bit words."""
+    out = np.empty((len(raw), width // 8), U)
+    for k, x in enumerate(raw):
+        v = np.frombuffer(x, U)
+        while len(v) * 8 > width:
+            v = v[: len(v) // 2] ^ v[len(v) // 2 :]
+        out[k] = v
+    return out
+
+
+def _possible(raw: list[bytes], n: np.ndarray, root: np.ndarray, left: np.ndarray | None, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs x < y of rows of different roots that sizes and sketches don't rule out, some rows at a time. Rows stand by size.
+
+    Rows go in groups of like width of their sketches, so that a wide one isn't folded for the sake of a narrow one far off.
+    """
+    width = np.array([len(x) for x in raw])
+    kinds = np.unique(width)
+    for w in kinds:
+        for v in kinds[kinds >= w]:
+            p, q = np.flatnonzero(width == w), np.flatnonzero(width == v)
+            x, y = _narrowed([raw[k] for k in p], w), _narrowed([raw[k] for k in q], w)
+            step = max(1, (1 << 21) // (y.size + 1))
+            for k in range(0, len(p), step):
+                a = p[k : k + step]
+                total = n[a][:, None] + n[q][None, :]
+                fits = (np.minimum(n[a][:, None], n[q][None, :]) * den >= np.maximum(n[a][:, None], n[q][None, :]) * num) & (root[a][:, None] != root[q][None, :])
+                if left is not None:
+                    fits &= left[a][:, None] != left[q][None, :]
+                if w == v:
+                    fits &= a[:, None] < q[None, :]
+                if not fits.any():
+                    continue
+                differ = np.bitwise_count(x[k : k + step, None, :] ^ y[None, :, :]).sum(2, dtype=np.int64)
+                r, c = np.nonzero(fits & (differ * (den + num) <= (den - num) * total))
+                if len(r):
+                    yield a[r], q[c]
+
+
+class _Forest(dict):
+    """Disjoint sets by name."""
+
+    def find(self, x):
+        while (p := self.get(x, x)) != x:
+            self[x] = x = self.get(p, p)
+        return x
+
+    def join(self, x, y) -> bool:
+        x, y = self.find(x), self.find(y)
+        self[max(x, y)] = min(x, y)
+        return x != y
+
+
 def _across(runs: DataFrame, roots: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of a run that no links connect yet and whose sizes and sketches don't rule out the similarity.
+    """(a, b): links that connect sets of a run which no links connect yet, a spanning forest of them per task.
 
     A run with unconnected members has one that its least isn't connected with, so only such runs are brought together.
     """
     open_runs = written(_apart(runs.select("run", "a", "b"), roots).select("run").distinct(), "jaccard-open")
     rows = written(runs.join(open_runs, "run", "left_semi"), "jaccard-runs")
     members = rows.select("run", F.col("a").alias("sid")).unionAll(rows.select("run", F.col("b").alias("sid"))).distinct()
-    members = members.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    members = members.join(sets.select("sid", "n", "sketch").dropDuplicates(["sid"]), "sid").select("run", "sid", "root", "n", "sketch")
-
-    def of_run(sid, root, n, raw) -> tuple[np.ndarray, np.ndarray] | None:
-        """Pairs of the members of a run, which stand by size."""
-        words = np.array([len(x) for x in raw])
-        # Sketches by width, each also folded to half of it: partners' widths differ by one step at most.
-        wide = {w: np.stack([x for x in raw if len(x) == w]) for w in np.unique(words)}
-        at = np.zeros(len(raw), np.int64)
-        for w in wide:
-            at[words == w] = np.arange((words == w).sum())
-        half = {w: x[:, : w // 2] ^ x[:, w // 2 :] for w, x in wide.items() if w > SKETCH // 64}
-        a, b = [], []
-        for i in range(len(sid) - 1):
-            j = np.searchsorted(n, n[i] * den // num, side="right")
-            near = np.flatnonzero(root[i + 1 : j] != root[i]) + i + 1
-            for w in np.unique(words[near]) if len(near) else ():
-                those = near[words[near] == w]
-                other = wide[w] if w == words[i] else half[w]
-                differ = np.bitwise_count(other[at[those]] ^ raw[i]).sum(1)
-                those = those[differ <= (den - num) * (n[i] + n[those]) // (den + num)]
-                a.append(np.maximum(sid[those], sid[i]))
-                b.append(np.minimum(sid[those], sid[i]))
-        return (np.concatenate(a), np.concatenate(b)) if a else None
-
-    def run(block: pa.Table) -> pa.Table:
-        runs, n = block.column("run").to_numpy(), block.column("n").to_numpy()
-        order = np.lexsort((n, runs))
-        runs, n = runs[order], n[order]
-        sid, root = block.column("sid").to_numpy()[order], block.column("root").to_numpy()[order]
-        sketches = block.column("sketch").combine_chunks() if isinstance(block.column("sketch"), pa.ChunkedArray) else block.column("sketch")
-        cuts = np.append(np.flatnonzero(np.concatenate(([True], runs[1:] != runs[:-1]))), len(runs))
-        out = []
-        for lo, hi in zip(cuts[:-1], cuts[1:]):
-            if (root[lo:hi] != root[lo]).any():
-                raw = [np.frombuffer(sketches[int(k)].as_buffer(), U) for k in order[lo:hi]]
-                if (found := of_run(sid[lo:hi], root[lo:hi], n[lo:hi], raw)) is not None:
-                    out.append(found)
-        table = np.unique(np.concatenate([np.stack(x) for x in out], axis=1), axis=1) if out else np.empty((2, 0), np.int64)
-        return pa.table([pa.array(table[0]), pa.array(table[1])], ["a", "b"])
-
-    # Runs of like hash share a task's group, as most are small; a large one has its members and their sketches in memory.
-    members = members.withColumn("bucket", F.pmod("run", F.lit(max(512, rows.count() // TOGETHER))))
-    return members.groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
+    rooted = sets.dropDuplicates(["sid"]).join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    members = _in_blocks(members, "run", rows.count()).join(rooted.select("sid", "n", "root", "sketch"), "sid")
+
+    def sketched(t: pa.Table) -> pa.Table:
+        sid, n, root = (t.column(c).to_numpy() for c in ("sid", "n", "root"))
+        sketches = t.column("sketch").combine_chunks()
+
+        def compare(at, left):
+            if (root[at] == root[at[0]]).all():
+                return None
+            forest, out = _Forest(), []
+            for x, y in _possible([sketches[int(k)].as_py() for k in at], n[at], root[at], left, num, den):
+                out += [(sid[at[p]], sid[at[q]]) for p, q in zip(x.tolist(), y.tolist()) if forest.join(p, q)]
+            return np.array(out, np.int64).T if out else None
+
+        return _of_blocks(t, "run", compare)
+
+    near = written(members.select("task", "run", "i", "j", "own", "sid", "n", "root", "sketch").groupBy("task").applyInArrow(sketched, "a long, b long").distinct(), "jaccard-near")
+    # Whatever pair the bound leaves has both its ends in one group of these.
+    together = written(components(near).select(F.col("node").alias("sid"), F.col("root").alias("party")), "jaccard-parties")
+    discard(open_runs, rows, near)
+    members = _in_blocks(together, "party", together.count()).join(rooted, "sid")
+
+    def exact(t: pa.Table) -> pa.Table:
+        sid, n, root = (t.column(c).to_numpy() for c in ("sid", "n", "root"))
+        sketches, sets_of = t.column("sketch").combine_chunks(), t.column("set").combine_chunks()
+
+        def compare(at, left):
+            forest, out = _Forest(), []
+            whole = [np.frombuffer(sets_of[int(k)].as_py(), U) for k in at]
+            for x, y in _possible([sketches[int(k)].as_py() for k in at], n[at], root[at], left, num, den):
+                for p, q in zip(x.tolist(), y.tolist()):
+                    if forest.find(root[at[p]]) != forest.find(root[at[q]]) and _linked(whole[p], whole[q], num, den):
+                        forest.join(root[at[p]], root[at[q]])
+                        out.append((sid[at[p]], sid[at[q]]))
+            return np.array(out, np.int64).T if out else None
+
+        return _of_blocks(t, "party", compare)
+
+    return written(members.select("task", "party", "i", "j", "own", "sid", "n", "root", "sketch", "set").groupBy("task").applyInArrow(exact, "a long, b long"), "jaccard-links")
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = NUM, den: int = DEN) -> DataFrame:
@@ -367,29 +466,30 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int =
     without words (null and empty texts among them) have an empty set and stand alone with their own key. Rows with equal
     sets are one set, whose copies meet only by partial aggregation; sets are told apart by a 64-bit hash. A null key is
     never the least of a group that has others. Other columns are ignored; an empty table gives no rows. No cap anywhere:
-    sizes of tables decide between broadcast and shuffle, the sample only hints at frequent n-grams.
+    bytes of tables decide between broadcast and shuffle, the sample only hints at frequent n-grams.
     """
-    sets_of = written(_sets(docs, key, text), "jaccard-rows")
-    size = sets_of.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    size = docs.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes")).first()
     signatures = Signatures(_frequent(docs, text, size["rows"]), num, den)
-    found = written(_runs(docs, text, signatures, max(BUCKETS, int(0.6 * size["n"]) // PER_BUCKET)).distinct(), "jaccard-candidates")
+    # A text has about a signature for every ten bytes.
+    met = written(_met(docs, key, text, signatures, max(BUCKETS, size["bytes"] // (10 * PER_BUCKET))), "jaccard-met")
+    sets_of = met.where("n is not null").select("key", "n", F.col("a").alias("sid"))
+    found = written(met.where("n is null").select("run", "a", "b").distinct(), "jaccard-candidates")
     pairs = found.groupBy("a", "b").agg(F.count("*").alias("shared"))
     pairs = written(pairs, "jaccard-pairs")
     ends = pairs.select(F.col("a").alias("sid")).unionAll(pairs.select("b")).distinct()
-    owners = sets_of.join(ends, "sid", "left_semi").groupBy("sid").agg(F.min("key").alias("key"))
-    sets = _elements(docs, key, text, written(owners, "jaccard-owners"))
+    owners = written(sets_of.join(ends, "sid", "left_semi").groupBy("sid").agg(F.min("key").alias("key")), "jaccard-owners")
+    sets = _elements(docs, key, text, owners)
 
     # Each set with the one it shares most with; then pairs, then members of runs, that these links leave apart.
     best = pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", F.col("b"))).alias("b"))
     links = _verified(best, sets, num, den)
     roots = components(links)
-    more = _apart(pairs.select("a", "b"), roots).join(best, ["a", "b"], "left_anti")
-    links = links.unionAll(_verified(written(more, "jaccard-more"), sets, num, den))
+    more = written(_apart(pairs.select("a", "b"), roots).join(best, ["a", "b"], "left_anti"), "jaccard-more")
+    links = links.unionAll(_verified(more, sets, num, den))
     roots = components(links)
-    rest = _across(found.where("run <> 0"), roots, sets, num, den).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-    rest = written(rest, "jaccard-rest")
-    if rest.count():
-        roots = components(links.unionAll(_verified(rest, sets, num, den)))
+    across = _across(found.where("run <> 0"), roots, sets, num, den)
+    roots = written(components(links.unionAll(across)), "jaccard-roots")
+    discard(found, pairs, owners, sets, more)
     out = sets_of.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = sets_of.where("sid is not null").groupBy("sid").agg(F.min("key").alias("key")).join(roots.withColumnRenamed("node", "sid"), "sid", "left")
     least = least.groupBy(F.coalesce("root", "sid").alias("root")).agg(F.min("key").alias("component_id"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import shipped, written
-from .graph import components
+from fleetspark.operators.graph import components
 
 THRESHOLD = 0.98
 #: Neighbours in a list, hyperplane trees drawn at first and in each further round, rounds of descent at most.

@@ -61,9 +61,10 @@ def corpus(seed, n=160):
     return list(zip(keys, texts))
 
 
-@pytest.mark.parametrize("often", [10, 4])
-def test_same_as_brute_force(spark, monkeypatch, often):
+@pytest.mark.parametrize("often, block", [(10, 512), (4, 3)])
+def test_same_as_brute_force(spark, monkeypatch, often, block):
     monkeypatch.setattr(J, "OFTEN", often)  # the hint changes no result
+    monkeypatch.setattr(J, "BLOCK", block)  # nor do blocks
     rows = corpus(often)
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumnRenamed("doc_id", "doc_id")
     got = sorted(tuple(r) for r in J.groups(df).collect())
