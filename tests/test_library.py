@@ -270,3 +270,27 @@ def test_broadcast_by_bytes(spark):
     df = spark.range(1000).selectExpr("id", "cast(id as string) as s")
     hinted = lambda d: "broadcast" in d._jdf.queryExecution().logical().toString().lower() or "ResolvedHint" in d._jdf.queryExecution().analyzed().toString()
     assert hinted(bounded(df)) and not hinted(bounded(df, 1000)) and hinted(bounded(df.limit(0), 0))
+
+
+def test_components_with_and_without_contraction(spark, monkeypatch):
+    from fleetspark.operators import graph
+
+    rng = random.Random(8)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5001 + i) for i in range(50)] + [(7, 7), (None, 3)]
+    root = list(range(6000))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in edges:
+        if a is not None:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    want = {(i, find(i)) for e in edges if e[0] is not None and e[0] != e[1] for i in e}
+    df = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    for contract in (False, True):
+        got = [tuple(r) for r in graph.components(df, contract=contract).collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert graph.components(df.limit(0), contract=True).collect() == []
