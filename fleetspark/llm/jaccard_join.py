@@ -35,14 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
-from fleetspark.operators.graph import components
+from fleetspark.operators.graph import components, contracted
 
 from .common import LOWER, bounded, discard, shipped, written
 
 #: Similarity as a fraction, and words of an n-gram.
 NUM, DEN, N = 75, 100, 5
 #: Signatures of a bucket, buckets at least, and signatures that a task packs at once; members of small runs in a group.
-PER_BUCKET, BUCKETS, PACKED, TOGETHER = 1_000_000, 256, 1_000_000, 1000
+PER_BUCKET, BUCKETS, PACKED, TOGETHER = 1_000_000, 256, 1_000_000, 20_000
 #: Members of a run or of a group of candidates that a task compares at once, all with all or with as many others.
 BLOCK = 512
 #: Sample from which frequent elements are learned: rows, how many of them share an element, elements kept at most.
@@ -336,21 +336,22 @@ def _in_blocks(members: DataFrame, group: str, rows: int) -> DataFrame:
     m = members.join(large, group, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     m = m.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     m = m.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64(group), F.lit(max(512, rows // TOGETHER)))).otherwise(F.xxhash64(group, "i", "j"))
+    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64(group), F.lit(max(64, rows // TOGETHER)))).otherwise(F.xxhash64(group, "i", "j"))
     return m.withColumn("task", task).drop("blocks", "other")
 
 
 def _of_blocks(t: pa.Table, group: str, compare) -> pa.Table:
-    """(a, b) from ``compare(rows, left)`` for each group and pair of blocks of a task: rows stand by size, left tells the
-    first block of two, or is null where a block meets itself."""
+    """(a, b) from ``compare(rows, left, forest)`` for each group and pair of blocks of a task: rows stand by size, left tells
+    the first block of two, or is null where a block meets itself; the task's groups share one forest, so that its output
+    grows with the sets it has seen and not with the runs in which they meet."""
     g, i, j, n, own = (t.column(c).to_numpy() for c in (group, "i", "j", "n", "own"))
     order = np.lexsort((n, j, i, g))
     key = np.stack([g[order], i[order], j[order]])
     cuts = np.append(np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(0))), len(order))
-    out = [np.empty((2, 0), np.int64)]
+    out, forest = [np.empty((2, 0), np.int64)], _Forest()
     for lo, hi in zip(cuts[:-1], cuts[1:]):
         at = order[lo:hi]
-        if hi - lo > 1 and (found := compare(at, own[at] == i[at] if i[at[0]] != j[at[0]] else None)) is not None:
+        if hi - lo > 1 and (found := compare(at, own[at] == i[at] if i[at[0]] != j[at[0]] else None, forest)) is not None:
             out.append(found)
     table = np.unique(np.concatenate(out, axis=1), axis=1)
     return pa.table([pa.array(table[0]), pa.array(table[1])], ["a", "b"])
@@ -424,19 +425,21 @@ def _across(runs: DataFrame, roots: DataFrame, sets: DataFrame, num: int, den: i
         sid, n, root = (t.column(c).to_numpy() for c in ("sid", "n", "root"))
         sketches = t.column("sketch").combine_chunks()
 
-        def compare(at, left):
+        def compare(at, left, forest):
             if (root[at] == root[at[0]]).all():
                 return None
-            forest, out = _Forest(), []
+            out, own = [], sid[at]
             for x, y in _possible([sketches[int(k)].as_py() for k in at], n[at], root[at], left, num, den):
-                out += [(sid[at[p]], sid[at[q]]) for p, q in zip(x.tolist(), y.tolist()) if forest.join(p, q)]
+                label = np.array([forest.find(k) for k in own.tolist()])
+                fresh = label[x] != label[y]
+                out += [pair for pair in zip(*(k.tolist() for k in contracted(own[x[fresh]], own[y[fresh]]))) if forest.join(*pair)]
             return np.array(out, np.int64).T if out else None
 
         return _of_blocks(t, "run", compare)
 
     near = written(members.select("task", "run", "i", "j", "own", "sid", "n", "root", "sketch").groupBy("task").applyInArrow(sketched, "a long, b long").distinct(), "jaccard-near")
     # Whatever pair the bound leaves has both its ends in one group of these.
-    together = written(components(near).select(F.col("node").alias("sid"), F.col("root").alias("party")), "jaccard-parties")
+    together = written(components(near, contract=True).select(F.col("node").alias("sid"), F.col("root").alias("party")), "jaccard-parties")
     discard(open_runs, rows, near)
     members = _in_blocks(together, "party", together.count()).join(rooted, "sid")
 
@@ -444,8 +447,8 @@ def _across(runs: DataFrame, roots: DataFrame, sets: DataFrame, num: int, den: i
         sid, n, root = (t.column(c).to_numpy() for c in ("sid", "n", "root"))
         sketches, sets_of = t.column("sketch").combine_chunks(), t.column("set").combine_chunks()
 
-        def compare(at, left):
-            forest, out = _Forest(), []
+        def compare(at, left, forest):
+            out = []
             whole = [np.frombuffer(sets_of[int(k)].as_py(), U) for k in at]
             for x, y in _possible([sketches[int(k)].as_py() for k in at], n[at], root[at], left, num, den):
                 for p, q in zip(x.tolist(), y.tolist()):
@@ -483,12 +486,12 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int =
     # Each set with the one it shares most with; then pairs, then members of runs, that these links leave apart.
     best = pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", F.col("b"))).alias("b"))
     links = _verified(best, sets, num, den)
-    roots = components(links)
+    roots = links.select(F.col("a").alias("node"), F.col("b").alias("root"))  # one link suffices to tell that two are connected
     more = written(_apart(pairs.select("a", "b"), roots).join(best, ["a", "b"], "left_anti"), "jaccard-more")
     links = links.unionAll(_verified(more, sets, num, den))
-    roots = components(links)
+    roots = written(components(links, contract=True), "jaccard-roots")
     across = _across(found.where("run <> 0"), roots, sets, num, den)
-    roots = written(components(links.unionAll(across)), "jaccard-roots")
+    roots = written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(across), contract=True), "jaccard-roots")
     discard(found, pairs, owners, sets, more)
     out = sets_of.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = sets_of.where("sid is not null").groupBy("sid").agg(F.min("key").alias("key")).join(roots.withColumnRenamed("node", "sid"), "sid", "left")
