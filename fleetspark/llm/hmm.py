@@ -30,10 +30,13 @@ from pyspark.sql.types import BinaryType, BooleanType, IntegerType, LongType, St
 
 from .common import LOWER, remainder, shipped, written
 
-STATES, BUCKETS, ROUNDS = 6, 16_384, 3
+STATES, BUCKETS = 6, 16_384
+#: Baum-Welch goes on until a round's log likelihood rises by less than this share, or for so many rounds.
+GAIN, ROUNDS = 0.005, 8
 BLOCK_WORDS = 1_000_000
-#: Words in flight in a task's recursions: their forward and backward messages are in memory at once.
-FLIGHT = 150_000
+#: Words in flight in a task's recursions, whose messages are in memory at once; words and end from which a text is walked
+#: in spans, side by side, and those of a span.
+FLIGHT, LONG, SPAN = 200_000, 2000, 256
 
 
 def _encode(docs: DataFrame, key: str, text: str, block_words: int) -> DataFrame:
@@ -89,62 +92,123 @@ def _encode(docs: DataFrame, key: str, text: str, block_words: int) -> DataFrame
     return written(source.mapInArrow(run, schema), "hmm-texts")
 
 
-def _in_flight(texts: list[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-    """Groups of texts of like length: (indexes, symbols by time and text with the end symbol last, active texts by time)."""
-    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+def _cut(text: np.ndarray) -> int:
+    return 1 if len(text) < LONG else len(text) // SPAN + 1
+
+
+def _spans(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]]:
+    """All texts, each with the end symbol and the long ones in spans, as many at once as FLIGHT allows, of like length:
+    (text, number of the span in it, symbols by time and span, active spans by time). A text's spans may be apart."""
+    count = [_cut(t) for t in texts]
+    text = np.repeat(np.arange(len(texts)), count)
+    number = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+    whole = np.array([len(t) + 1 for t in texts], np.int64)[text]
+    size = np.where(np.array(count)[text] == 1, whole, np.minimum(whole - number * SPAN, SPAN)) if len(text) else whole
+    order = np.argsort(-size, kind="stable")
     i = 0
     while i < len(order):
-        longest = len(texts[order[i]]) + 1
+        longest = int(size[order[i]])
         cut = order[i : i + max(1, FLIGHT // longest)]
         i += len(cut)
         x = np.full((longest, len(cut)), BUCKETS, np.int32)
-        lengths = np.array([len(texts[j]) + 1 for j in cut])
-        for c, j in enumerate(cut):
-            x[: len(texts[j]), c] = texts[j]
-        yield cut, x, (lengths[None, :] > np.arange(longest)[:, None]).sum(1)
+        for c, k in enumerate(cut):
+            piece = texts[text[k]][number[k] * SPAN : number[k] * SPAN + size[k]]
+            x[: len(piece), c] = piece
+        yield text[cut], number[cut], x, (size[cut][None, :] > np.arange(longest)[:, None]).sum(1).tolist()
+
+
+def _entries(texts: list[np.ndarray], start, move, emit, backward: bool):
+    """For texts of several spans: of each span the distributions over its first states and over the last ones of the span
+    before (zeros for the first span), the log likelihoods of whole texts, and, if asked, what follows each span (its
+    likelihood from each last state, up to a factor).
+
+    A span is a matrix from first to last states; those of all spans are found side by side, then multiplied in order, so
+    a long text costs no more steps than its spans are long. emit: by state and class.
+    """
+    k, some = len(start), [t for t in range(len(texts)) if _cut(texts[t]) > 1]
+    first, after, ll, matrices = {}, {}, {}, {}
+    for text, number, x, active in _spans([texts[t] for t in some]):
+        m, scale = np.zeros((k, k, len(text))), np.zeros(len(text))
+        m[np.arange(k), np.arange(k)] = emit[:, x[0]]
+        for t in range(1, len(x)):
+            n = active[t]
+            m[:, :, :n] = np.matmul(move.T, m[:, :, :n]) * emit[:, x[t, :n]]
+            if t % 8 == 0 or t + 1 == len(x) or active[t + 1] < n:  # before values leave the range of numbers
+                top = m[:, :, :n].max((0, 1))
+                m[:, :, :n] /= top
+                scale[:n] += np.log(top)
+        matrices.update({(some[a], int(b)): (m[:, :, c], scale[c]) for c, (a, b) in enumerate(zip(text, number))})
+    for t in some:
+        a, before, total, last = start, np.zeros(k), 0.0, _cut(texts[t])
+        for i in range(last):
+            m, scale = matrices[t, i]
+            first[t, i] = a, before
+            a = a @ m
+            total += scale + np.log(a.sum())
+            before = a / a.sum()
+            a = before @ move
+        ll[t] = total
+        b = np.ones(k)
+        for i in range(last - 1, -1, -1) if backward else ():
+            after[t, i] = b
+            b = move @ (matrices[t, i][0] @ b)
+            b /= b.sum()
+    return first, after, ll
 
 
 def log_likelihood(texts: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> np.ndarray:
     """Natural log of the probability of each sequence of classes and its end. emit: by class and state."""
-    out = np.zeros(len(texts))
-    for cut, x, active in _in_flight(texts):
-        a = start * emit[x[0]]
-        ll = np.zeros(len(cut))
-        for t in range(len(x)):
-            n = active[t]
+    out, emit = np.zeros(len(texts)), np.ascontiguousarray(emit.T)
+    for t, total in _entries(texts, start, move, emit, False)[2].items():
+        out[t] = total
+    short = np.array([t for t in range(len(texts)) if _cut(texts[t]) == 1], np.int64)
+    for text, _, x, active in _spans([texts[t] for t in short]):
+        a = start[:, None] * emit[:, x[0]]
+        ll = np.zeros(len(text))
+        for t, n in enumerate(active):
             if t:
-                a = (a[:n] @ move) * emit[x[t, :n]]
-            s = a.sum(1)
-            a /= s[:, None]
+                a = (move.T @ a[:, :n]) * emit[:, x[t, :n]]
+            s = a.sum(0)
+            a /= s
             ll[:n] += np.log(s)
-        out[cut] = ll
+        out[short[text]] = ll
     return out
 
 
 def expected_counts(texts: list[np.ndarray], start, move, emit, to_start, to_move, to_emit) -> float:
-    """Adds the texts' expected counts to the last three; gives their log likelihood."""
-    total, k = 0.0, len(start)
-    for cut, x, active in _in_flight(texts):
-        span = len(x)
-        alpha, scale = np.zeros((span, len(cut), k)), np.ones((span, len(cut)))
-        for t in range(span):
-            n = active[t]
-            a = (start if t == 0 else alpha[t - 1, :n] @ move) * emit[x[t, :n]]
-            scale[t, :n] = s = a.sum(1)
-            alpha[t, :n] = a / s[:, None]
+    """Adds the texts' expected counts to the last three; gives their log likelihood. Memory is that of FLIGHT symbols and
+    of a matrix a span of the long texts."""
+    total, k, emit = 0.0, len(start), np.ascontiguousarray(emit.T)
+    first, after, _ = _entries(texts, start, move, emit, True)
+    for text, number, x, active in _spans(texts):
+        count, span = len(text), len(x)
+        begin, beta, before = np.repeat(start[:, None], count, 1), np.ones((k, count)), np.zeros((k, count))
+        for c, at in enumerate(zip(text.tolist(), number.tolist())):
+            if at in first:
+                (begin[:, c], before[:, c]), beta[:, c] = first[at], after[at]
+        alpha, scale = np.zeros((span, k, count)), np.ones((span, count))
+        ends = np.empty((k, count))
+        for t, n in enumerate(active):
+            a = (begin[:, :n] if t == 0 else move.T @ alpha[t - 1, :, :n]) * emit[:, x[t, :n]]
+            scale[t, :n] = s = a.sum(0)
+            np.divide(a, s, out=alpha[t, :, :n])
+            ends[:, :n] = alpha[t, :, :n]
         total += float(np.log(scale).sum())
-        beta = np.ones((len(cut), k))
+        beta /= (ends * beta).sum(0)
         for t in range(span - 1, 0, -1):
             n = active[t]
-            w = emit[x[t, :n]] * beta[:n] / scale[t, :n, None]
-            to_move += move * (alpha[t - 1, :n].T @ w)
-            alpha[t, :n] *= beta[:n]
-            beta[:n] = w @ move.T
+            w = emit[:, x[t, :n]]
+            w *= beta[:, :n]
+            w /= scale[t, :n]
+            to_move += move * (alpha[t - 1, :, :n] @ w.T)
+            alpha[t, :, :n] *= beta[:, :n]
+            beta[:, :n] = move @ w
+        to_move += move * (before @ (emit[:, x[0]] * beta / scale[0]).T)
         alpha[0] *= beta
-        to_start += alpha[0].sum(0)
+        to_start += alpha[0][:, number == 0].sum(1)
         flat = x.ravel()
-        for z in range(k):  # texts that have ended weigh nothing: alpha is 0 there
-            to_emit[:, z] += np.bincount(flat, weights=alpha[:, :, z].ravel(), minlength=BUCKETS + 1)
+        for z in range(k):  # spans that have ended weigh nothing: alpha is 0 there
+            to_emit[:, z] += np.bincount(flat, weights=alpha[:, z].ravel(), minlength=BUCKETS + 1)
     return total
 
 
@@ -183,7 +247,7 @@ def _round(texts: DataFrame, start, move, emit, states: int):
     return table[: BUCKETS + 1], table[BUCKETS + 1 : BUCKETS + 1 + states], table[-2], table[-1, 0]
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text", states: int = STATES, rounds: int = ROUNDS, block_words: int = BLOCK_WORDS, history: list | None = None) -> DataFrame:
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", states: int = STATES, rounds: int = ROUNDS, gain: float = GAIN, block_words: int = BLOCK_WORDS, history: list | None = None) -> DataFrame:
     """Per row of ``docs``: key, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Words are split at ASCII white space after lower-casing A-Z; each text ends with one end token. Rows whose
@@ -215,10 +279,14 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", states: int
     emit /= emit.sum(0)
     move = np.full((states, states), 0.03 / states) + 0.97 * np.eye(states)
     start = np.full(states, 1 / states)
+    last = None
     for _ in range(rounds if ends else 0):
         e, m, s, total = _round(texts, start, move, emit, states)
         if history is not None:
             history.append(total)
+        if last is not None and total - last < gain * abs(last):
+            break
+        last = total
         emit = (e + 2.0 * known[:, None]) / (e + 2.0 * known[:, None]).sum(0)
         move = (m + 0.1) / (m + 0.1).sum(1, keepdims=True)
         start = (s + 0.1) / (s + 0.1).sum()

@@ -124,3 +124,21 @@ def test_classifier(spark):
     assert C.keep_good(docs, marks).columns == docs.columns
     none = C.digest(docs, marks.limit(0)).collect()
     assert {r.score for r in none} == {0.5}
+
+
+def test_spans_of_long_texts(params, monkeypatch):
+    """Long texts in spans give what they give as a whole."""
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(0, 300, n) for n in (0, 3, 38, 39, 40, 41, 63, 64, 65, 300, 7)]
+
+    def results():
+        k = 3
+        sums = np.zeros(k), np.zeros((k, k)), np.zeros((hmm.BUCKETS + 1, k))
+        return hmm.expected_counts(texts, *params, *sums), *sums, hmm.log_likelihood(texts, *params)
+
+    whole = results()
+    monkeypatch.setattr(hmm, "LONG", 40)
+    monkeypatch.setattr(hmm, "SPAN", 8)
+    monkeypatch.setattr(hmm, "FLIGHT", 100)
+    for got, want in zip(results(), whole):
+        assert np.allclose(got, want)
