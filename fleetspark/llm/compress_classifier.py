@@ -22,8 +22,10 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import remainder, shipped
 
-#: Bounds of the sample that is learned from: rows of either label, and characters taken of each.
-SAMPLE_ROWS, SAMPLE_CHARS = 3000, 8000
+#: Bounds of the sample that is learned from: rows of either label, and pieces of PIECE characters from all over each text.
+SAMPLE_ROWS, SAMPLE_PIECES = 3000, 64
+#: Texts of either sort below which nothing is learned: a third of them has to calibrate.
+SMALLEST = 12
 PIECE, DICTIONARY, LEVEL = 128, 112_640, 3
 
 
@@ -58,14 +60,14 @@ class Model:
 
 
 def fit(good: list[str], bad: list[str], seed: int = 7) -> Model:
-    """Dictionaries from two thirds of the texts of either sort, the curve from the rest. Without texts of both sorts
-    every score is the share of good ones, or 0.5 if there are none at all.
+    """Dictionaries from two thirds of the texts of either sort, the curve from the rest. With fewer than
+    SMALLEST texts of either sort every score is the share of good ones, or 0.5 if there are none at all.
     """
     rng = random.Random(seed)
     good, bad = sorted(good), sorted(bad)
     rng.shuffle(good), rng.shuffle(bad)
     prior = math.log((len(good) + 0.5) / (len(bad) + 0.5))
-    if len(good) < 12 or len(bad) < 12:
+    if len(good) < SMALLEST or len(bad) < SMALLEST:
         return Model(b"", b"", [prior, 0, 0, 0, 0, 0, 0])
     part = lambda texts, held: [t.encode() for i, t in enumerate(texts) if (i % 3 == 0) == held]
 
@@ -97,15 +99,17 @@ def fit(good: list[str], bad: list[str], seed: int = 7) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learns from labelled rows outside the held-out fold: at most ``sample_rows`` of either label, those with the least
-    hash of their id, and of each the first SAMPLE_CHARS characters. Null labels, ids and texts aren't used; an id with
+    hash of their id, and of a text longer than SAMPLE_PIECES pieces as many at equal distances from its start to its end. Null labels, ids and texts aren't used; an id with
     several texts gives the least of them; an id with both labels counts for both.
     """
     marked = labels.select("doc_id", F.col("quality").alias("y")).where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (remainder(F.col("doc_id"), folds) != held)).distinct()
     # The sample is drawn by id alone, so that only its own texts leave their partitions.
     chosen = [marked.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows) for y in (0, 1)]
     chosen = docs.sparkSession.createDataFrame(chosen[0].union(chosen[1]).collect(), marked.schema)
-    texts = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("t")).where("t is not null and t <> ''")
-    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("t").alias("t")).collect()
+    whole = docs.select("doc_id", "text").where("text is not null and text <> ''").join(F.broadcast(chosen), "doc_id")
+    spread = F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_PIECES - 1)), lambda i: F.substring("text", F.floor(i * (F.length("text") - PIECE) / (SAMPLE_PIECES - 1)).cast("int") + 1, F.lit(PIECE)))
+    some = F.when(F.length("text") <= SAMPLE_PIECES * PIECE, F.col("text")).otherwise(F.concat_ws("", spread))
+    sample = whole.select("doc_id", "y", some.alias("t")).groupBy("doc_id", "y").agg(F.min("t").alias("t")).collect()
     good, bad = ([r["t"] for r in sample if r["y"] == y] for y in (1, 0))
     model = fit(good, bad)
     if good and bad:  # the sample has its own share of good rows; scores follow that of all

@@ -142,3 +142,33 @@ def test_spans_of_long_texts(params, monkeypatch):
     monkeypatch.setattr(hmm, "FLIGHT", 100)
     for got, want in zip(results(), whole):
         assert np.allclose(got, want)
+
+
+def test_classifier_edges(spark):
+    """No rows, long texts learned from to their end, ties, repeated rows, null texts, columns that clash."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    noise = "".join(rng.choice("qxzj#$%&") for _ in range(70_000))
+    docs, labels = [], []
+    for i in range(120):
+        good = i % 2 == 0
+        words = " ".join(rng.choice("the cat sat on a mat and was glad of it".split()) for _ in range(60))
+        junk = "".join(rng.choice("qxzj#$%& ") for _ in range(300))
+        # Long texts tell what they are at their end only.
+        docs.append((i, noise[:9000] * (i % 10 < 2) + (words if good else junk) * (40 if i % 10 < 2 else 1)))
+        labels.append((i, int(good)))
+    docs += [(0, docs[0][1]), (500, None), (501, ""), (None, "the cat")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("score", F.lit("mine"))
+    marks = spark.createDataFrame(labels, "doc_id long, quality int")
+    rows = C.digest(df, marks).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.doc_id, set()).add(tuple(r))
+    assert len(rows) == len(docs) and all(len(v) == 1 for v in by.values()) and all(0 <= r.score <= 1 for r in rows)
+    assert next(iter(by[500]))[2] == next(iter(by[501]))[2]
+    right = sum(r.predicted == 1 - r.doc_id % 2 for r in rows if r.doc_id is not None and r.doc_id < 120)
+    assert right >= 110
+    kept = C.keep_good(df, marks)
+    assert kept.columns == df.columns and {r.score for r in kept.collect()} == {"mine"}
+    assert C.digest(df.limit(0), marks).collect() == [] and C.digest(df, marks.limit(0)).count() == len(docs)
