@@ -2,16 +2,21 @@
 
 A page is a sequence of text blocks. Each block has a tag path: its block-level elements from the root to the leaf, with
 inline elements left out. For each path of a page, the text length and punctuation over all its blocks are summed and
-divided by its number of blocks; each path's ratio is smoothed with those of the paths under the same parent, text and
-punctuation ratios are fused by their product, and paths above a share of the best one are content. What holds a content
-path is a container, and all its blocks are content, however short: lists, tables, captions and code beside paragraphs.
+divided by its number of blocks. Paths that differ in parts of a text only (paragraphs, lists, tables, headings) stand in
+one container; each path's ratios are smoothed with their means over its container. Text ratio, punctuation ratio and the
+root of the container's share of the page's text are fused by their product, and paths above a share of the best one are
+content, with all blocks of their containers, however short. A container within another takes half of that one's value if
+it has less itself, and an article half of that of the best one in it. What elements and class names say is a factor of a path's value and no more: it moves the balance
+between parts of a page, and where it weighs on all of them alike it changes nothing.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
+from math import sqrt
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,10 +24,11 @@ from pyspark.sql import functions as F
 
 #: Elements whose content is never text of a page.
 RAW = "script style noscript template iframe object svg math textarea title select"
+#: A quoted value ends where an attribute may; without such an end, the tag ends at the next bracket. Each part is walked once.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(" + RAW.replace(" ", "|") + r")(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
+    r"|<(" + RAW.replace(" ", "|") + r")(?=[\s/>])[^>]*+>.*?(?:</\1(?=[\s/>])[^>]*+(?:>|\Z)|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"(?=[\s/>])|'[^']*+'(?=[\s/>]))*+[^>]*+)(?:>|\Z)",
     re.S | re.I,
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -50,10 +56,11 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 LIMITS = frozenset("table ul ol dl div section article main body td th blockquote".split())
 BREAKS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 PUNCTUATION = re.compile(r"[.,;:!?…、。，；：！？]")
-#: Open elements at most, as in browsers; deeper ones lend their text to those.
-DEPTH = 512
 #: A path's fused ratio must reach this share of the best one.
-SHARE = 0.04
+SHARE = 0.06
+#: Factors of a path's value: for an element or hidden text that is no article text, for class names that say so, for an
+#: article or main element; and what a container within another takes of that one's value.
+ASIDE, HINTED, MARKED, WITHIN = 0.001, 0.003, 3.0, 0.5
 
 
 def _hinted(tag: str, marks: str, attributes: str, inside: bool) -> bool:
@@ -67,29 +74,45 @@ def _hinted(tag: str, marks: str, attributes: str, inside: bool) -> bool:
     return tag == "section" and any(w.lower() not in TOPICS for w in HINT.findall(marks))
 
 
-def _container(path: str) -> tuple[str, bool]:
-    """The path of what holds a path, without the parts of a text, and whether all within it is content: the outermost
-    article, or else the nearest element that isn't the whole page."""
-    steps = path.split("/")
-    for i, x in enumerate(steps):
-        if x.split(".")[0] == "article":
-            return "/".join(steps[: i + 1]), True
-    while steps and steps[-1].split(".")[0] in PARTS:
-        steps.pop()
-    return "/".join(steps), bool(steps) and steps[-1].split(".")[0] not in ("html", "body", "main")
+class Paths:
+    """The tag paths of a page, by number; 0 is the page itself. A path's element and marks are its own, the rest its parent's."""
 
+    def __init__(self):
+        self.number: dict[tuple[int, str], int] = {}
+        self.parent, self.container, self.factor, self.inside, self.off = [0], [0], [1.0], [False], [False]
+        self.article = [False]
+        self.page = [True]  # paths of containers that are the page or its body: what stands in them isn't one text
 
-def blocks(html: str) -> list[tuple[str, str, bool, bool, int]]:
-    """(path, text, away, main, characters in links) of each block with text, in page order; white space is made plain."""
-    out, stack, buffer, linked, at = [], [], [], 0, 0  # stack: (tag, label, away, main)
+    def child(self, parent: int, tag: str, attributes: str) -> int:
+        marks = " ".join(a or b or c for a, b, c in ATTRIBUTE.findall(attributes)) if attributes else ""
+        hidden = bool(attributes and tag not in ("html", "body") and HIDDEN.search(attributes))
+        label = f"{tag}.{'.'.join(sorted(re.sub(r'[0-9]+', '', marks).replace('/', '|').split()))}{'!' * hidden}"
+        if (found := self.number.get((parent, label))) is not None:
+            return found
+        n = self.number[parent, label] = len(self.parent)
+        away = tag in AWAY
+        hinted = bool(marks) and tag not in ("html", "body") and _hinted(tag, marks, attributes, self.inside[parent])
+        self.parent.append(parent)
+        self.container.append(self.container[parent] if tag in PARTS else n)
+        self.factor.append(self.factor[parent] * (ASIDE if away or hidden else 1) * (HINTED if hinted else 1) * (MARKED if tag in MAIN and not self.inside[parent] else 1))
+        self.inside.append(self.inside[parent] or tag in MAIN)
+        self.off.append(self.off[parent] or hidden or away and tag != "form")
+        self.article.append(self.article[parent] or tag == "article")
+        self.page.append(tag in ("html", "body"))
+        return n
+
+
+def blocks(html: str) -> tuple[Paths, list[tuple[int, str, int]]]:
+    """The page's paths, and (path, text, characters in links) of each block with text, in page order; white space is made
+    plain. Work and memory are in proportion to the page, whatever its depth."""
+    paths, out, stack, buffer, linked, at = Paths(), [], [], [], 0, 0  # stack: (tag, path)
+    opened: Counter = Counter()
 
     def flush():
         nonlocal linked
         text = " ".join(unescape("".join(buffer)).split())
         if text:
-            shown = [x for x in stack if x[0] not in INLINE]
-            top = stack[-1] if stack else ("", "", False, False)
-            out.append(("/".join(x[1] for x in shown), text, top[2], top[3], min(linked, len(text))))
+            out.append((stack[-1][1] if stack else 0, text, min(linked, len(text))))
         buffer.clear()
         linked = 0
 
@@ -97,12 +120,15 @@ def blocks(html: str) -> list[tuple[str, str, bool, bool, int]]:
         nonlocal linked
         if piece:
             buffer.append(piece)
-            if any(x[0] == "a" for x in stack):
+            if opened["a"]:
                 linked += len(" ".join(unescape(piece).split()))
 
     def pop_to(tags, limits):
+        if not any(opened[t] for t in tags):
+            return
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] in tags:
+                opened.subtract(x[0] for x in stack[k:])
                 del stack[k:]
                 return
             if stack[k][0] in limits:
@@ -118,76 +144,81 @@ def blocks(html: str) -> list[tuple[str, str, bool, bool, int]]:
             if tag in ("br", "hr"):
                 flush()
             continue
-        if m[2]:
-            if any(x[0] == tag for x in stack):
-                if tag not in INLINE:
-                    flush()
-                pop_to({tag}, () if tag in LIMITS or tag in AWAY else LIMITS - {tag})
-            elif tag not in INLINE:
-                flush()
-            continue
         if tag not in INLINE:
             flush()
-            if tag in BREAKS_P:
-                pop_to({"p"}, LIMITS)
-            if tag in CLOSES:
-                pop_to(CLOSES[tag], LIMITS - CLOSES[tag])
+        if m[2]:
+            pop_to({tag}, () if tag in LIMITS or tag in AWAY else LIMITS - {tag})
+            continue
+        if tag in BREAKS_P:
+            pop_to({"p"}, LIMITS)
+        if tag in CLOSES:
+            pop_to(CLOSES[tag], LIMITS - CLOSES[tag])
         attributes = m[4]
-        marks = " ".join(a or b or c for a, b, c in ATTRIBUTE.findall(attributes)) if attributes else ""
-        parent = stack[-1] if stack else ("", "", False, False)
-        label = f"{tag}.{'.'.join(sorted(re.sub(r'[0-9]+', '', marks).replace('/', '|').split()))}" if marks else tag
-        away = parent[2] or tag in AWAY or bool(tag not in MAIN and tag not in ("html", "body") and (marks and _hinted(tag, marks, attributes, parent[3]) or attributes and HIDDEN.search(attributes)))
-        if len(stack) < DEPTH and not (attributes and attributes.rstrip().endswith("/") and tag not in INLINE and tag not in BREAKS_P):
-            stack.append((tag, label, away, parent[3] or tag in MAIN))
+        if attributes and attributes.rstrip().endswith("/") and tag not in INLINE and tag not in BREAKS_P:
+            continue
+        parent = stack[-1][1] if stack else 0
+        stack.append((tag, parent if tag in INLINE and not (attributes and (HIDDEN.search(attributes) or HINT.search(attributes))) else paths.child(parent, tag, attributes)))
+        opened[tag] += 1
     text(html[at:])
     flush()
+    return paths, out
+
+
+def values(paths: Paths, found: list[tuple[int, str, int]]) -> dict[int, float]:
+    """The smoothed and fused ratio of each path that has blocks."""
+    own: dict[int, list[float]] = {}
+    for path, text, linked in found:
+        s = own.setdefault(path, [0.0, 0.0, 0.0])
+        s[0] += len(text) - 0.95 * linked
+        s[1] += len(PUNCTUATION.findall(text))
+        s[2] += 1
+    whole: dict[int, list[float]] = {}
+    for path, s in own.items():
+        w = whole.setdefault(paths.container[path], [0.0, 0.0, 0.0])
+        for k in range(3):
+            w[k] += s[k]
+    page = sum(w[0] for w in whole.values())
+    out = {}
+    for path, (chars, marks, n) in own.items():
+        w = whole[paths.container[path]]
+        length, punctuation = (chars / n + w[0] / w[2]) / 2, 1 + (marks / n + w[1] / w[2]) / 2
+        out[path] = length * punctuation * sqrt(w[0] / page) * paths.factor[path]
     return out
 
 
+def content(paths: Paths, fused: dict[int, float], share: float) -> set[int]:
+    """The containers of the paths that reach ``share`` of the best one, by themselves or by what is around them."""
+    best: dict[int, float] = {}
+    for path, v in fused.items():
+        c = paths.container[path]
+        best[c] = max(best.get(c, 0.0), v)
+    least = share * max(best.values())
+    for c in range(len(paths.parent) - 1, 0, -1):  # parents have lesser numbers
+        up = paths.container[paths.parent[c]]
+        if c in best and paths.article[up]:
+            best[up] = max(best.get(up, 0.0), WITHIN * best[c])
+    for c in range(1, len(paths.parent)):
+        up = paths.container[paths.parent[c]]
+        if paths.container[c] == c and up in best and not paths.page[up]:
+            best[c] = max(best.get(c, 0.0), WITHIN * best[up] * paths.factor[c] / paths.factor[up])
+    return {c for c, v in best.items() if v >= least}
+
+
 def main_text(html: str | None, share: float = SHARE) -> str:
-    """The text of the content paths, blocks joined by a space; empty if there is none."""
-    found = [b for b in blocks(html)] if html else []
-    kept = [b for b in found if not b[2]]
-    if any(b[3] for b in kept):  # a marked article or main element is the page's own word for its content
-        kept = [b for b in kept if b[3]]
-    if not kept:
+    """The text of the content paths, blocks joined by a space; empty if there is none, or nothing outside of menus and the like."""
+    paths, found = blocks(html) if html else (None, [])
+    if all(paths.off[path] for path, _, _ in found):
         return ""
-    sums: dict[str, list[float]] = {}
-    for path, text, _, _, linked in kept:
-        s = sums.setdefault(path, [0, 0, 0])
-        s[0] += len(text) - linked
-        s[1] += len(PUNCTUATION.findall(text))
-        s[2] += 1
-    ratio = {p: ((chars / n), 1 + marks / n) for p, (chars, marks, n) in sums.items()}
-    parents: dict[str, list[str]] = {}
-    for p in sums:
-        parents.setdefault(p.rpartition("/")[0], []).append(p)
-    fused = {}
-    for parent, paths in parents.items():
-        n = sum(sums[p][2] for p in paths)
-        mean_text, mean_marks = (sum(ratio[p][i] * sums[p][2] for p in paths) / n for i in (0, 1))
-        for p in paths:
-            fused[p] = (ratio[p][0] + mean_text) / 2 * (ratio[p][1] + mean_marks) / 2
-    least = share * max(fused.values())
-    holders = {_container(p) for p in sums if fused[p] >= least}
-    within = {c for c, whole in holders if whole}
-    loose = {c for c, whole in holders if not whole}
-
-    def held(path: str) -> bool:
-        if _container(path)[0] in within or _container(path)[0] in loose:
-            return True
-        steps = path.split("/")
-        return any("/".join(steps[:i]) in within for i in range(1, len(steps)))
-
-    content = {p for p in sums if fused[p] >= least or held(p)}
-    return " ".join(b[1] for b in kept if b[0] in content)
+    kept = content(paths, values(paths, found), share)
+    return " ".join(text for path, text, _ in found if paths.container[path] in kept)
 
 
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url"), share: float = SHARE) -> DataFrame:
     """``keep``, text and n_chars for each row of ``pages``.
 
     Null or empty html, and pages without content, give an empty text. Rows aren't merged: equal pages give equal rows.
-    Further columns of ``pages`` are ignored. One narrow stage without a shuffle; memory is that of one Arrow batch.
+    Further columns of ``pages`` are ignored. One narrow stage without a shuffle; memory is that of one Arrow batch, and a very
+    long page is walked once, so it costs what its length is.
     """
     names = [f"k{i}" for i in range(len(keep))]
     source = pages.select(*(F.col(c).alias(n) for c, n in zip(keep, names)), F.col(html).alias("html"))
