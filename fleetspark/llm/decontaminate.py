@@ -4,8 +4,9 @@ The automaton accepts every run of words that stands in some item. A document's
 the state's length is that of the longest run of document words, ending here, that some item holds. Where it reaches the
 window's length, the last ``window`` words stand in an item and are hit. An item shorter than a window is a window itself.
 
-The items are read in shards of a bounded number of words, one automaton each; a shard is broadcast, and the documents
-pass through all of them in one narrow stage, so the memory of a task is that of the shards of one pass.
+The items are read in shards of a bounded number of words, one automaton each. All shards are built on the driver and
+broadcast together, and the documents pass through them in one narrow stage; so the items as a whole are bounded too: more
+than ITEM_BYTES of them are refused, with an error, and go in several calls.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from .common import WORDS, shipped, written
 
 #: Words of one shard of items: about 100 MB of automaton.
 SHARD_WORDS = 400_000
+#: Bytes of all items' texts at most: their automata take some 40 times as much.
+ITEM_BYTES = 16 << 20
 
 
 def words(text: bytes) -> list[bytes]:
@@ -137,12 +140,14 @@ class SuffixAutomaton:
         return spans, found, longest
 
 
-def _shards(items: DataFrame, item_id: str, text: str, window: int, shard_words: int):
+def _shards(items: DataFrame, item_id: str, text: str, window: int, shard_words: int, item_bytes: int = ITEM_BYTES):
     """The automata, built one after the other from bounded parts of ``items``."""
     kept = items.select(F.col(item_id).cast("string").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    size = kept.agg(F.sum(F.length("text")).alias("n"), F.count("*").alias("rows")).first()
+    size = kept.agg(F.sum(F.octet_length("text")).alias("n"), F.count("*").alias("rows")).first()
     if not size["rows"]:
         return []
+    if (size["n"] or 0) > item_bytes:
+        raise ValueError(f"{size['n']} bytes of items; at most {item_bytes} are broadcast at once: call for parts of the items")
     n = 1 + (size["n"] or 0) // (2 * shard_words)  # a word and its gap take two characters at least
     if n == 1:
         return [SuffixAutomaton([(r["id"], words(r["text"].encode())) for r in kept.collect()], window)]
@@ -158,9 +163,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, text: str
     longest (words of the longest run that an item holds, within runs that can hold a window) and clean_text, the text
     without its hit spans (null unless ``remove``; the text itself where nothing is hit).
 
-    Null and empty texts have no words; null and wordless items no windows; an item with a null id counts as ''. Items
+    Null and empty texts have no words; null and wordless items no windows; items with null ids are one item, which counts but isn't named. Items
     of one id are one item; repeated rows of ``docs`` count each. An empty table of items hits nothing. A column of ``docs`` with one of these names gives
-    way. Texts pass whole. Narrow: no shuffle; the items are broadcast in shards of at most ``shard_words`` words.
+    way. Texts pass whole. Narrow: no shuffle; the items are broadcast, ITEM_BYTES of text at most.
     """
     automata = shipped(docs.sparkSession, _shards(items, item_id, item_text, window, shard_words))
     added = [x.split()[0] for x in SPANS.split(", ")]
@@ -180,12 +185,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, text: str
                 for m in machines:
                     s, f, n = m.scan(seq)
                     spans = s if not spans else _merged(spans + s) if s else spans
-                    found |= {m.ids[k] or "" for k in f}
+                    found |= {m.ids[k] for k in f}
                     longest = max(longest, n)
                 clean = None
                 if remove and raw is not None:
                     clean = _without(raw, spans).decode() if spans else raw.decode()
-                rows.append((len(seq), sum(e - s for s, e in spans), len(found), sorted(found), longest, clean))
+                rows.append((len(seq), sum(e - s for s, e in spans), len(found), sorted(x for x in found if x is not None), longest, clean))
             cols = list(zip(*rows)) if rows else [[]] * 6
             types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, t) for c, t in zip(cols, types))], schema.names)

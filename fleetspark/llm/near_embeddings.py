@@ -267,7 +267,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vec: str = "embeddi
             if links == before:
                 break
         edges = written(stars.unionAll(lists.where(F.col("sim") >= threshold).select("a", "b")).distinct(), "near-edges")
-        roots = components(edges)
+        roots = components(edges, contract=True)
         true, found = _audit(nodes, roots, threshold, asked)
         if history is not None:
             history.append((true, found))

@@ -61,3 +61,16 @@ def test_spans_are_removed(spark):
     out = {r.doc_id: r for r in D.clean(df, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
     assert set(out) == {1, 3, 4} and out[1].text.startswith("Before, ! after that") and out[1].n_chars == len(out[1].text) and out[1]["items"] == "x"
     assert D.clean(df, spark.createDataFrame([], "item_id long, text string")).count() == 4
+
+
+def test_null_item_ids_and_too_many_items(spark):
+    import pytest
+
+    from fleetspark.llm import decontaminate as D
+
+    docs = spark.createDataFrame([(1, "a b c d"), (2, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "b c"), ("x", "c d"), (None, "a b")], "item_id string, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256) for r in D.digest(docs, items).collect()}
+    assert got == {1: (4, 2, D.sha(["x"])), 2: (0, 0, D.sha([]))}
+    with pytest.raises(ValueError, match="bytes of items"):
+        D._shards(items, "item_id", "text", 10, 100, item_bytes=5)
