@@ -91,3 +91,9 @@ def fuel_balance(first: Column, last: Column, added: Column) -> Column:
 
 def rmse(y: str, p: str) -> Column:
     return F.sqrt(F.avg(F.pow(F.col(y) - F.col(p), 2)))
+
+
+def described(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(col, n, mean, std, least, greatest) of numeric columns, nulls left out: one aggregation, then a row a column."""
+    made = F.array(*(F.struct(F.lit(c).alias("col"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev(c).alias("std"), F.min(c).cast("double").alias("least"), F.max(c).cast("double").alias("greatest")) for c in columns))
+    return df.agg(made.alias("rows")).select(F.inline("rows"))

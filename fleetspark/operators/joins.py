@@ -40,8 +40,8 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, ri
     keys = [F.col(c) for c in by]
     kept = [F.col(c) for c in left.columns]
     payload = F.struct(*(F.col(c) for c in [right_ts, *take]))
-    l = left.select(*keys, F.col(left_ts).alias("__t"), F.lit(0).alias("__s"), F.lit(None).cast("string").alias("__o"), F.struct(*kept).alias("__l"), F.lit(None).cast(right.select(payload.alias("p")).schema["p"].dataType).alias("__r"))
-    tie = F.concat_ws("|", *(F.lpad(F.col(c).cast("string"), 24, "0") for c in order))
+    tie = F.struct(*(F.col(c) for c in order)) if order else F.struct(F.lit(0))
+    l = left.select(*keys, F.col(left_ts).alias("__t"), F.lit(0).alias("__s"), F.lit(None).cast(right.select(tie.alias("o")).schema["o"].dataType).alias("__o"), F.struct(*kept).alias("__l"), F.lit(None).cast(right.select(payload.alias("p")).schema["p"].dataType).alias("__r"))
     r = right.select(*keys, F.col(right_ts).alias("__t"), F.lit(-side).alias("__s"), tie.alias("__o"), F.lit(None).cast(l.schema["__l"].dataType).alias("__l"), payload.alias("__r"))
     w = Window.partitionBy(*by).orderBy("__t", "__s", "__o").rowsBetween(Window.unboundedPreceding, 0)
     out = l.unionByName(r).withColumn("__r", F.last("__r", ignorenulls=True).over(w)).where("__l is not null")

@@ -109,3 +109,15 @@ def post_process(p: Column, floor: Column | None = None, ceiling: Column | None
     """Predictions no lower than 0 and the floor, no higher than the ceiling."""
     out = F.greatest(p, F.lit(0.0)) if floor is None else F.greatest(p, F.lit(0.0), floor)
     return out if ceiling is None else F.least(out, ceiling)
+
+
+def fixed_blend(df: DataFrame, weights: dict[str, float]) -> Column:
+    """The weighted mean of the predictions that ``df`` has, weights made to sum to one over those; null where one is null."""
+    there = {c: w for c, w in weights.items() if c in df.columns}
+    if not there:
+        raise ValueError("no prediction to blend")
+    total = sum(there.values())
+    out = F.lit(0.0)
+    for c, w in there.items():
+        out = out + F.col(c) * F.lit(w / total)
+    return out

@@ -108,6 +108,15 @@ def average_rank(x: Column, by: list[str] | None = None) -> Column:
     return F.when(x.isNotNull(), (rank + (tied - 1) / 2.0) / F.count(x).over(part))
 
 
+def average_ranks(df: DataFrame, x: str, by: list[str], out: str) -> DataFrame:
+    """``df`` with ``average_rank`` of x, for groups that may hold much of the table: rows are counted by group and value,
+    ranks run over the distinct values only and are joined back. Nulls of x and of ``by`` have no rank."""
+    counts = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("__n"))
+    below = F.sum("__n").over(Window.partitionBy(*by).orderBy(x)) - F.col("__n")
+    ranks = counts.withColumn(out, (below + (F.col("__n") + 1) / 2.0) / F.sum("__n").over(Window.partitionBy(*by))).drop("__n")
+    return df.join(ranks, [*by, x], "left")
+
+
 def deviation(x: str, by: list[str]) -> Column:
     """x less its mean over the entity."""
     return F.col(x) - F.avg(x).over(Window.partitionBy(*by))

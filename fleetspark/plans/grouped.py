@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from fleetspark.functions import keys
+from fleetspark.functions import keys, scalars
 from fleetspark.operators import aggregates as A
 from fleetspark.operators import stats
 from fleetspark.sources.pings import keyed, pings, refuels, shift_totals, sql
@@ -225,3 +225,17 @@ def fallback_cascade(spark, sf_dir):
 def impute_levels(spark, sf_dir):
     p = A.with_scalars(pings(spark, sf_dir), g=F.avg("altitude"))
     return p.select("event_id", R(F.coalesce("altitude", F.avg("altitude").over(Window.partitionBy("vehicle")), "g"), 6).alias("altitude"))
+
+
+@query("speed_bands", sql("SELECT vehicle, date, shift, round(least(greatest(quantile_cont(speed, 0.5) / 10, 0), 1), 6) AS time_at_low_speed, round(least(greatest((quantile_cont(speed, 0.9) - 30) / 30, 0), 1), 6) AS time_at_high_speed FROM pings GROUP BY ALL"))
+def speed_bands(spark, sf_dir):
+    """How far a shift's median and 90th percentile of speed saturate a low and a high band."""
+    q = lambda x: F.percentile("speed", F.lit(x))
+    band = lambda x, low, wide: R(scalars.clip((x - low) / wide, 0.0, 1.0), 6)
+    return p_(spark, sf_dir).groupBy("vehicle", "date", "shift").agg(band(q(0.5), 0.0, 10.0).alias("time_at_low_speed"), band(q(0.9), 30.0, 30.0).alias("time_at_high_speed"))
+
+
+@query("describe", sql(" UNION ALL ".join(f"SELECT '{c}' AS col, count({c}) AS n, round(avg({c}), 6) AS mean, round(stddev({c}), 6) AS std, min({c})::DOUBLE AS least, max({c})::DOUBLE AS greatest FROM pings" for c in ("speed", "altitude", "k"))))
+def describe(spark, sf_dir):
+    """Counts, means, deviations and bounds of columns, in one pass and a row a column."""
+    return A.described(pings(spark, sf_dir), ["speed", "altitude", "k"]).select("col", "n", R("mean", 6).alias("mean"), R("std", 6).alias("std"), "least", "greatest")

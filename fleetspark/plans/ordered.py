@@ -106,7 +106,8 @@ def dense_rank(spark, sf_dir):
 
 @query("avg_rank_norm", sql("SELECT event_id, round((rank() OVER (PARTITION BY shift ORDER BY k) + (count(*) OVER (PARTITION BY shift, k) - 1) / 2.0) / count(*) OVER (PARTITION BY shift), 6) AS r FROM pings"))
 def avg_rank_norm(spark, sf_dir):
-    return keyed(pings(spark, sf_dir)).select("event_id", R(S.average_rank(F.col("k"), ["shift"]), 6).alias("r"))
+    p = keyed(pings(spark, sf_dir)).select("event_id", "shift", "k")
+    return S.average_ranks(p, "k", ["shift"], "r").select("event_id", R("r", 6).alias("r"))
 
 
 @query("entity_deviation", sql("SELECT event_id, round(speed - avg(speed) OVER (PARTITION BY vehicle), 6) AS d FROM pings"))

@@ -294,3 +294,27 @@ def test_components_with_and_without_contraction(spark, monkeypatch):
         got = [tuple(r) for r in graph.components(df, contract=contract).collect()]
         assert len(got) == len(want) and set(got) == want
     assert graph.components(df.limit(0), contract=True).collect() == []
+
+
+def test_ranks_without_large_windows(spark):
+    rows = [(g, v, i) for i, (g, v) in enumerate([("a", 3), ("a", 1), ("a", 3), ("a", None), ("b", 5), (None, 2), ("b", 5)])]
+    df = spark.createDataFrame(rows, "g string, v int, i int")
+    want = {r.i: r.w for r in df.where("g is not null").select("i", sequence.average_rank(F.col("v"), ["g"]).alias("w")).collect()}
+    got = {r.i: r.r for r in sequence.average_ranks(df, "v", ["g"], "r").collect()}
+    assert len(got) == len(rows) and got.pop(5) is None and got == want
+
+
+def test_asof_ties_are_told_apart_by_value(spark):
+    t = dt.datetime(2024, 1, 1)
+    left = spark.createDataFrame([("a", t + dt.timedelta(1))], "k string, ts timestamp")
+    right = spark.createDataFrame([("a", t, -2, "x" * 30 + "b"), ("a", t, 10, "x" * 30 + "a"), ("a", t, 9, "z")], "k string, rts timestamp, n int, s string")
+    take = lambda order: joins.asof_join(left, right, ["k"], "ts", "rts", ["n"], order=order).first()["last_n"]
+    assert take(["n"]) == 10 and take(["s"]) == 9
+    assert take(["n", "s"]) == 10 and joins.asof_join(left, right.limit(0), ["k"], "ts", "rts", ["n"], order=["n"]).first()["last_n"] is None
+
+
+def test_blend_of_what_is_there(spark):
+    df = spark.createDataFrame([(1.0, 3.0), (None, 3.0)], "a double, b double")
+    assert [r[0] for r in df.select(ml.fixed_blend(df, {"a": 0.25, "b": 0.75, "c": 9.0})).collect()] == [2.5, None]
+    with pytest.raises(ValueError):
+        ml.fixed_blend(df, {"c": 1.0})
