@@ -76,6 +76,11 @@ def local_plane(lat: Column, lon: Column, lat0: Column) -> tuple[Column, Column]
     return lon * F.lit(111320.0) * F.cos(F.radians(lat0)), lat * F.lit(110540.0)
 
 
+def from_local_plane(east: Column, north: Column, lat0: Column) -> tuple[Column, Column]:
+    """Latitude and longitude of places on the plane of ``local_plane``."""
+    return north / F.lit(110540.0), east / (F.lit(111320.0) * F.cos(F.radians(lat0)))
+
+
 def utm(lat: Column, lon: Column, meridian: float = 87.0, k0: float = 0.9996, easting: float = 500000.0) -> tuple[Column, Column]:
     """Easting and northing (north of the equator) in a transverse Mercator zone of WGS84, by Krueger's series to n^3."""
     a, f = 6378137.0, 1 / 298.257223563

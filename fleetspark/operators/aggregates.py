@@ -97,3 +97,36 @@ def described(df: DataFrame, columns: list[str]) -> DataFrame:
     """(col, n, mean, std, least, greatest) of numeric columns, nulls left out: one aggregation, then a row a column."""
     made = F.array(*(F.struct(F.lit(c).alias("col"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev(c).alias("std"), F.min(c).cast("double").alias("least"), F.max(c).cast("double").alias("greatest")) for c in columns))
     return df.agg(made.alias("rows")).select(F.inline("rows"))
+
+
+def merge_parts(parts: DataFrame, by: list[str], sums: list[str] = (), greatest: list[str] = (), means: list[str] = ()) -> DataFrame:
+    """One row an entity from aggregates of its parts: sums of sums, greatest of greatest, unweighted means of means."""
+    return parts.groupBy(*by).agg(*(F.sum(c).alias(c) for c in sums), *(F.max(c).alias(c) for c in greatest), *(F.avg(c).alias(c) for c in means))
+
+
+def all_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Pearson correlation of each pair of columns, (a, b) with a before b in the list, by one aggregation."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    row = df.agg(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("corr")) for a, b in pairs)).alias("rows"))
+    return row.select(F.inline("rows"))
+
+
+def area_under_curve(df: DataFrame, score: str, label: str, by: list[str] = (), ranges: int = 64) -> DataFrame:
+    """(by, auc): the chance that a row with a true label scores above one with a false label, ties counting half; rows
+    without score or label are left out. Rows are counted by score first. Without ``by``, scores are ordered within
+    ranges cut at quantiles, whose totals are carried over, so no task orders them all."""
+    counts = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, score).agg(F.count_if(F.col(label)).alias("__t"), F.count_if(~F.col(label)).alias("__f"))
+    if by:
+        below = F.sum("__f").over(Window.partitionBy(*by).orderBy(score)) - F.col("__f")
+    else:
+        cuts = sorted(set(df.approxQuantile(score, [i / ranges for i in range(1, ranges)], 0.25 / ranges)))
+        part = F.size(F.filter(F.lit(cuts) if cuts else F.array().cast("array<double>"), lambda x: x < F.col(score)))
+        counts = counts.withColumn("__part", part)
+        totals = counts.groupBy("__part").agg(F.sum("__f").alias("__pf"))
+        carried = totals.select("__part", (F.sum("__pf").over(Window.orderBy("__part")) - F.col("__pf")).alias("__carry"))
+        counts = counts.join(carried, "__part")
+        below = F.col("__carry") + F.sum("__f").over(Window.partitionBy("__part").orderBy(score)) - F.col("__f")
+    counts = counts.withColumn("__won", F.col("__t") * (below + F.col("__f") / 2))
+    t, f = F.sum("__t"), F.sum("__f")
+    won = F.sum("__won") / F.when(t * f > 0, t * f)
+    return counts.groupBy(*by).agg(won.alias("auc"))

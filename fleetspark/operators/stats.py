@@ -99,3 +99,15 @@ def varying(df: DataFrame, columns: list[str]) -> list[str]:
     """The columns with more than one value: one pass over the table."""
     row = df.agg(*(F.coalesce(F.min(c) != F.max(c), F.lit(False)).alias(c) for c in columns)).first()
     return [c for c in columns if row[c]]
+
+
+def out_of_fold_stats(df: DataFrame, by: list[str], fold: str, target: str, prefix: str) -> DataFrame:
+    """Mean, spread and count of the entity's target over the other folds: sums by entity and fold, totals less the fold's,
+    joined back; null where the other folds have too few rows."""
+    parts = df.groupBy(*by, fold).agg(F.count(target).alias("n"), F.coalesce(F.sum(target), F.lit(0.0)).alias("s"), F.coalesce(F.sum(F.col(target) * F.col(target)), F.lit(0.0)).alias("q"))
+    whole = Window.partitionBy(*by)
+    rest = parts.select(*by, fold, *((F.sum(c).over(whole) - F.col(c)).alias(c) for c in "nsq"))
+    mean = F.col("s") / F.when(F.col("n") > 0, F.col("n"))
+    spread = F.sqrt(F.greatest(F.col("q") - F.col("s") * mean, F.lit(0.0)) / F.when(F.col("n") > 1, F.col("n") - 1))
+    rest = rest.select(*by, fold, mean.alias(f"{prefix}_mean"), spread.alias(f"{prefix}_std"), F.col("n").alias(f"{prefix}_n"))
+    return df.join(rest, [*by, fold], "left")

@@ -6,7 +6,7 @@ import pytest
 from fleetspark.plans import registry
 
 DATA = "/root/testdata/sf0.001"
-HOT = "shift_features day_features shift_table asof_strict trailing_24h range_join_cycles position_slice load_state interpolate_limit within_buffer nearest_anchor oof_mean vehicle_history candidate_search ewma_last5 fallback_cascade global_scalars".split()
+HOT = "shift_features day_features shift_table asof_strict trailing_24h range_join_cycles position_slice load_state interpolate_limit within_buffer nearest_anchor oof_mean vehicle_history candidate_search ewma_last5 fallback_cascade global_scalars shift_features_wide shift_cycles load_split near_any_anchor assigned_distance oof_stats auc_overall".split()
 
 
 def plan(df):
@@ -29,6 +29,7 @@ def test_scans_are_pruned(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
-def test_windows_of_a_shift_share_an_exchange(spark):
-    found = plan(registry.QUERIES["shift_features"](spark, DATA))
+@pytest.mark.parametrize("name", ["shift_features", "shift_features_wide", "shift_cycles"])
+def test_windows_of_a_shift_share_an_exchange(spark, name):
+    found = plan(registry.QUERIES[name](spark, DATA))
     assert len(re.findall(r"Exchange hashpartitioning", found)) == 1
