@@ -59,7 +59,7 @@ def top_share(df: DataFrame, by: list[str], cell: str, weight: Column) -> DataFr
 
 
 def with_scalars(df: DataFrame, **aggs: Column) -> DataFrame:
-    """Adds aggregates over the whole table to each row, as scalar subqueries."""
+    """Adds aggregates over the whole table to each row, as scalar subqueries. For quantiles take ``exact_quantiles``."""
     return df.withColumns({n: df.agg(c).scalar() for n, c in aggs.items()})
 
 
@@ -111,22 +111,43 @@ def all_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     return row.select(F.inline("rows"))
 
 
+def _in_ranges(df: DataFrame, counts: DataFrame, x: str, n: str, ranges: int) -> DataFrame:
+    """``counts``, a row a value of x, with __below: the sum of ``n`` over lesser values. Values are ordered within ranges
+    cut at quantiles of ``df``, whose totals are carried over, so no task orders them all; only the cuts come to the driver."""
+    cuts = sorted(set(df.approxQuantile(x, [i / ranges for i in range(1, ranges)], 0.25 / ranges)))
+    part = F.size(F.filter(F.lit(cuts) if cuts else F.array().cast("array<double>"), lambda c: c < F.col(x)))
+    counts = counts.withColumn("__part", part)
+    totals = counts.groupBy("__part").agg(F.sum(n).alias("__pn"))
+    carried = totals.select("__part", (F.sum("__pn").over(Window.orderBy("__part")) - F.col("__pn")).alias("__carry"))
+    below = F.col("__carry") + F.sum(n).over(Window.partitionBy("__part").orderBy(x)) - F.col(n)
+    return counts.join(carried, "__part").withColumn("__below", below).drop("__part", "__carry")
+
+
+def exact_quantiles(df: DataFrame, x: str, qs: dict[str, float], ranges: int = 64) -> DataFrame:
+    """One row with exact quantiles of the whole table, interpolated between neighbours, by name; null for nothing. Values
+    are counted first and ordered in ranges, where ``percentile`` over a whole table brings all values to one task."""
+    d = df.select(F.col(x).cast("double").alias("__x")).where(F.col("__x").isNotNull() & ~F.isnan("__x"))
+    total = d.count()
+    counts = _in_ranges(d, d.groupBy("__x").agg(F.count("*").alias("__n")), "__x", "__n", ranges)
+    end = F.col("__below") + F.col("__n")
+    made = []
+    for name, q in qs.items():
+        at = q * max(total - 1, 0)
+        low = int(at)
+        lower, upper = (F.min(F.when(end > r, F.col("__x"))) for r in (low, min(low + 1, max(total - 1, 0))))
+        made.append((lower + (upper - lower) * (at - low)).alias(name))
+    return counts.agg(*made)
+
+
 def area_under_curve(df: DataFrame, score: str, label: str, by: list[str] = (), ranges: int = 64) -> DataFrame:
     """(by, auc): the chance that a row with a true label scores above one with a false label, ties counting half; rows
-    without score or label are left out. Rows are counted by score first. Without ``by``, scores are ordered within
-    ranges cut at quantiles, whose totals are carried over, so no task orders them all."""
+    without score or label are left out. Rows are counted by score first; without ``by``, scores are ordered in ranges."""
     counts = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, score).agg(F.count_if(F.col(label)).alias("__t"), F.count_if(~F.col(label)).alias("__f"))
     if by:
-        below = F.sum("__f").over(Window.partitionBy(*by).orderBy(score)) - F.col("__f")
+        counts = counts.withColumn("__below", F.sum("__f").over(Window.partitionBy(*by).orderBy(score)) - F.col("__f"))
     else:
-        cuts = sorted(set(df.approxQuantile(score, [i / ranges for i in range(1, ranges)], 0.25 / ranges)))
-        part = F.size(F.filter(F.lit(cuts) if cuts else F.array().cast("array<double>"), lambda x: x < F.col(score)))
-        counts = counts.withColumn("__part", part)
-        totals = counts.groupBy("__part").agg(F.sum("__f").alias("__pf"))
-        carried = totals.select("__part", (F.sum("__pf").over(Window.orderBy("__part")) - F.col("__pf")).alias("__carry"))
-        counts = counts.join(carried, "__part")
-        below = F.col("__carry") + F.sum("__f").over(Window.partitionBy("__part").orderBy(score)) - F.col("__f")
-    counts = counts.withColumn("__won", F.col("__t") * (below + F.col("__f") / 2))
+        counts = _in_ranges(df, counts, score, "__f", ranges)
+    counts = counts.withColumn("__won", F.col("__t") * (F.col("__below") + F.col("__f") / 2))
     t, f = F.sum("__t"), F.sum("__f")
     won = F.sum("__won") / F.when(t * f > 0, t * f)
     return counts.groupBy(*by).agg(won.alias("auc"))

@@ -123,14 +123,36 @@ def deviation(x: str, by: list[str]) -> Column:
 
 
 def greedy_gate(df: DataFrame, by: list[str], order: list[str], at: str, gate: float) -> DataFrame:
-    """The rows kept by walking along an entity: the first, then each that is at least ``gate`` beyond the last one kept.
+    """The rows kept by walking along an entity: the first with a position, then each that is at least ``gate`` (above 0)
+    beyond the last one kept; (by, order, at).
 
-    The walk depends on all kept rows before it, so a fold over an entity's ordered positions; (by, kept positions).
+    The walk depends on all kept rows before it, so it goes over an entity's sorted rows in batches and carries the last
+    kept position from one to the next: the memory of a task is a batch, whatever the length of a history. In a batch it
+    jumps from kept row to kept row by search on the running maximum, which no row before the last kept one exceeds.
     """
-    rows = df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(at).cast("double").alias("__at")))).alias("rows"))
-    start = F.array().cast("array<double>")
-    kept = F.aggregate("rows", start, lambda acc, r: F.when((F.size(acc) == 0) | (r["__at"] >= F.element_at(acc, -1) + gate), F.concat(acc, F.array(r["__at"]))).otherwise(acc))
-    return rows.select(*by, kept.alias("kept"))
+    rows = df.select(*by, *order, F.col(at).cast("double").alias(at)).where(F.col(at).isNotNull() & ~F.isnan(at))
+    rows = rows.withColumn("__e", F.xxhash64(*by)).repartition(*by).sortWithinPartitions(*by, *order)
+    schema = rows.drop("__e").schema
+
+    def walk(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        entity, last = None, -np.inf
+        for b in batches:
+            ids, x = b.column("__e").to_numpy(), b.column(at).to_numpy()
+            starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+            keep = []
+            for i, j in zip(starts, np.r_[starts[1:], len(ids)]):
+                if entity is None or ids[i] != entity:
+                    entity, last = ids[i], -np.inf
+                top = np.maximum.accumulate(x[i:j])
+                while (k := int(np.searchsorted(top, last + gate))) < len(top):
+                    keep.append(i + k)
+                    last = top[k]
+            yield b.drop_columns(["__e"]).take(pa.array(keep, pa.int64()))
+
+    return rows.mapInArrow(walk, schema)
 
 
 def pairs_of_islands(df: DataFrame, flag: str, by: list[str], order: list[str], ts: str) -> DataFrame:

@@ -103,7 +103,8 @@ def entropy(spark, sf_dir):
 
 @query("global_scalars", sql("SELECT vehicle, round(avg(speed) - (SELECT avg(speed) FROM pings), 6) AS over_mean, count(*) FILTER (WHERE speed > (SELECT quantile_cont(speed, 0.95) FROM pings)) AS fast FROM pings GROUP BY vehicle"))
 def global_scalars(spark, sf_dir):
-    p = A.with_scalars(p_(spark, sf_dir).select("vehicle", "speed"), m=F.avg("speed"), q=F.percentile("speed", F.lit(0.95)))
+    p = p_(spark, sf_dir).select("vehicle", "speed")
+    p = A.with_scalars(p, m=F.avg("speed")).withColumn("q", A.exact_quantiles(p, "speed", {"q": 0.95}).scalar())
     return p.groupBy("vehicle").agg(R(F.avg("speed") - F.first("m"), 6).alias("over_mean"), F.count_if(F.col("speed") > F.col("q")).alias("fast"))
 
 
@@ -155,7 +156,7 @@ def vehicle_history(spark, sf_dir):
     t = shift_totals(spark, sf_dir)
     train = t.where(F.dayofmonth("date") <= 20)
     fine, coarse = stats.fit_history(train, ["vehicle", "shift"], "used", "vs"), stats.fit_history(train, ["vehicle"], "used", "v")
-    out = stats.apply_history(t.withColumn("g", train.agg(F.percentile("used", F.lit(0.5))).scalar()), [(fine, ["vehicle", "shift"], "vs"), (coarse, ["vehicle"], "v")], "median", F.col("g"), "expected")
+    out = stats.apply_history(t.withColumn("g", A.exact_quantiles(train, "used", {"m": 0.5}).scalar()), [(fine, ["vehicle", "shift"], "vs"), (coarse, ["vehicle"], "v")], "median", F.col("g"), "expected")
     return out.select("vehicle", "date", "shift", R("expected", 6).alias("expected"))
 
 
@@ -176,7 +177,7 @@ def physics_prior(spark, sf_dir):
     t = shift_totals(spark, sf_dir)
     rate = t.where("n > 1").withColumn("r", F.col("used") / F.col("n"))
     v = rate.groupBy("vehicle").agg(F.percentile("r", F.lit(0.5)).alias("rate"))
-    return t.join(v, "vehicle", "left").withColumn("g", rate.agg(F.percentile("r", F.lit(0.5))).scalar()).select("vehicle", "date", "shift", R(F.col("n") * F.coalesce("rate", "g", F.lit(46.0)), 6).alias("prior"))
+    return t.join(v, "vehicle", "left").withColumn("g", A.exact_quantiles(rate, "r", {"m": 0.5}).scalar()).select("vehicle", "date", "shift", R(F.col("n") * F.coalesce("rate", "g", F.lit(46.0)), 6).alias("prior"))
 
 
 _SQL_DATE, _SQL_SHIFT = "CAST(t AS DATE) - CASE WHEN hour(t) < 6 THEN 1 ELSE 0 END", "CASE WHEN hour(t) >= 6 AND hour(t) < 14 THEN 'A' WHEN hour(t) >= 14 AND hour(t) < 22 THEN 'B' ELSE 'C' END"
@@ -215,7 +216,7 @@ def fallback_cascade(spark, sf_dir):
     from fleetspark.operators.joins import history_before
 
     days = p_(spark, sf_dir).groupBy("vehicle", "date").agg(F.sum("dist").alias("used"))
-    h = A.with_scalars(history_before(days, ["vehicle"], "date", "used"), g=F.avg("used"), gm=F.percentile("used", F.lit(0.5)))
+    h = A.with_scalars(history_before(days, ["vehicle"], "date", "used"), g=F.avg("used")).withColumn("gm", A.exact_quantiles(days, "used", {"m": 0.5}).scalar())
     n = F.col("history_n")
     out = stats.cascade(h, "expected", (n >= 3, F.col("history_ewma")), (n > 0, 0.6 * F.col("history_mean") + 0.4 * F.col("g")), (F.lit(True), F.col("gm")))
     return out.select("vehicle", "date", R("expected", 6).alias("expected"))

@@ -132,7 +132,10 @@ def request_fill(spark, sf_dir):
     t = shift_totals(spark, sf_dir)
     key = ["vehicle", "date", "shift"]
     q = t.select(*key).union(t.select("vehicle", F.date_add("date", 400).alias("date"), "shift")).distinct()
-    q = q.withColumn("id", F.row_number().over(Window.orderBy(*key)).cast("long"))
+    # Ids run within a vehicle, from where those of lesser vehicles end.
+    sizes = q.groupBy("vehicle").agg(F.count("*").alias("n"))
+    base = sizes.select("vehicle", (F.sum("n").over(Window.orderBy("vehicle")) - F.col("n")).alias("base"))
+    q = q.withColumn("r", F.row_number().over(Window.partitionBy("vehicle").orderBy("date", "shift"))).join(base, "vehicle").withColumn("id", F.col("base") + F.col("r"))
     h = t.where("n > 1").groupBy("vehicle", "shift").agg(F.avg("used").alias("m"))
     out = q.join(t, key, "left").join(h, ["vehicle", "shift"], "left").withColumn("g", t.agg(F.avg("used")).scalar())
     return out.select("id", R(F.coalesce("used", "m", "g"), 6).alias("predicted"))

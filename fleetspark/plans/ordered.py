@@ -157,7 +157,7 @@ SELECT vehicle, count(*) AS n, round(sum(path), 4) AS total FROM g GROUP BY vehi
 def greedy_gate(spark, sf_dir):
     p = pings(spark, sf_dir).withColumn("path", S.running(F.col("dist"), w()))
     kept = S.greedy_gate(p, BY, ORDER, "path", 800.0)
-    return kept.select("vehicle", F.size("kept").cast("long").alias("n"), R(F.aggregate("kept", F.lit(0.0), lambda a, v: a + v), 4).alias("total"))
+    return kept.groupBy("vehicle").agg(F.count("*").alias("n"), R(F.sum("path"), 4).alias("total"))
 
 
 @query("dwell_pairs", sql(ISLANDS + """, s AS (SELECT vehicle, island, min(ts) AS a, max(ts) AS b, (row_number() OVER (PARTITION BY vehicle ORDER BY island) - 1) // 2 AS pair FROM i WHERE slow GROUP BY vehicle, island)
@@ -186,7 +186,7 @@ def topk(spark, sf_dir):
 @query("worst_5pct", sql(""", r AS (SELECT event_id, shift, abs(speed - avg(speed) OVER (PARTITION BY vehicle)) AS residual FROM pings), q AS (SELECT quantile_cont(residual, 0.95) AS t FROM r)
 SELECT shift, count(*) AS n, count(*) FILTER (WHERE residual >= t) AS worst FROM r, q GROUP BY shift"""))
 def worst_5pct(spark, sf_dir):
-    from fleetspark.operators.aggregates import with_scalars
+    from fleetspark.operators.aggregates import exact_quantiles
 
     r = keyed(pings(spark, sf_dir)).select("event_id", "shift", F.abs(S.deviation("speed", BY)).alias("residual"))
-    return with_scalars(r, t=F.percentile("residual", F.lit(0.95))).groupBy("shift").agg(F.count("*").alias("n"), F.count_if(F.col("residual") >= F.col("t")).alias("worst"))
+    return r.withColumn("t", exact_quantiles(r, "residual", {"t": 0.95}).scalar()).groupBy("shift").agg(F.count("*").alias("n"), F.count_if(F.col("residual") >= F.col("t")).alias("worst"))

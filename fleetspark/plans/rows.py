@@ -146,7 +146,7 @@ def label_encode(spark, sf_dir):
     p = pings(spark, sf_dir)
     known = p.where("event_type <> 'view'").select("event_type").distinct()
     vocabulary = known.withColumn("code", F.dense_rank().over(Window.orderBy("event_type")) - 1)
-    return p.join(F.broadcast(vocabulary), "event_type", "left").select("event_id", F.coalesce("code", F.lit(-1)).alias("code"))
+    return p.join(vocabulary, "event_type", "left").select("event_id", F.coalesce("code", F.lit(-1)).alias("code"))
 
 
 @query("string_keys", "SELECT c_custkey, regexp_replace(lower(c_name), '[^a-z0-9]', '', 'g') AS slug, upper(c_mktsegment) AS segment, concat_ws('|', c_mktsegment, c_nationkey) AS pair, starts_with(c_mktsegment, 'BU') AS bu FROM customer")

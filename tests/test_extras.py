@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import fleetspark.plans  # noqa: F401
-from fleetspark.operators import aggregates, ml
+from fleetspark.operators import aggregates, ml, sequence
 from fleetspark.plans import registry
 
 DATA = "/root/testdata/sf0.001"
@@ -59,3 +59,33 @@ def test_drift_tells_a_change(spark):
 def test_importances_sum_to_one(spark):
     rows = registry.QUERIES["importances"](spark, DATA).collect()
     assert sum(r["importance"] for r in rows) == pytest.approx(1) and [r["importance"] for r in rows] == sorted((r["importance"] for r in rows), reverse=True)
+
+
+def test_exact_quantiles(spark):
+    rng = random.Random(5)
+    for n in (0, 1, 2, 7, 500):
+        x = [rng.choice([rng.randrange(20), rng.random() * 20]) for _ in range(n)]
+        df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "x double")
+        qs = {"a": 0.0, "b": 0.5, "c": 0.95, "d": 1.0}
+        want = df.where("not isnan(x)").agg(*(F.percentile("x", F.lit(q)).alias(c) for c, q in qs.items())).first()
+        found = aggregates.exact_quantiles(df, "x", qs, ranges=8).first()
+        assert [found[c] for c in qs] == [want[c] if want[c] is None else pytest.approx(want[c]) for c in qs]
+
+
+def test_greedy_gate_over_batches(spark):
+    rng = random.Random(7)
+    rows = [(v, i, rng.choice([None, rng.random() * 5 + i * (v - 1)])) for v in (1, 2, 3) for i in range(60)] + [(4, 1, None)]
+    want = set()
+    for v in (1, 2, 3):
+        last = float("-inf")
+        for _, i, x in (r for r in rows if r[0] == v):
+            if x is not None and x >= last + 2.5:
+                want.add((v, i))
+                last = x
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = sequence.greedy_gate(spark.createDataFrame(rows, "v int, i int, x double"), ["v"], ["i"], "x", 2.5).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    assert {(r["v"], r["i"]) for r in found} == want and len(found) == len(want)

@@ -83,7 +83,7 @@ def test_balance_state_and_gate(spark):
     df = frame(spark, [(0, True, False), (1, True, False), (2, False, False), (3, False, True)], "i int, l boolean, d boolean").withColumn("v", F.lit(1))
     assert [r.loaded for r in sequence.filled_state(df, "l", "d", ["v"], ["i"]).orderBy("i").collect()] == [1, 1, 1, 0]
     df = frame(spark, list(enumerate([0.0, 500.0, 900.0, 1000.0, 1900.0])), "i int, p double").withColumn("v", F.lit(1))
-    assert sequence.greedy_gate(df, ["v"], ["i"], "p", 800.0).first().kept == [0, 900, 1900]
+    assert [r.p for r in sequence.greedy_gate(df, ["v"], ["i"], "p", 800.0).orderBy("i").collect()] == [0, 900, 1900]
 
 
 def test_asof_and_trailing(spark):
