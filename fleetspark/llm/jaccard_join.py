@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
@@ -43,8 +43,9 @@ from .common import LOWER, bounded, discard, shipped, written
 NUM, DEN, N = 75, 100, 5
 #: Signatures of a bucket, buckets at least, and signatures that a task packs at once; members of small runs in a group.
 PER_BUCKET, BUCKETS, PACKED, TOGETHER = 1_000_000, 256, 1_000_000, 20_000
-#: Members of a run or of a group of candidates that a task compares at once, all with all or with as many others.
-BLOCK = 512
+#: Members of a run or of a group of candidates that a task compares at once, all with all or with as many others; bytes of
+#: their sketches and sets, so that blocks of long texts have fewer members. Rows that move go down as blocks grow.
+BLOCK, HELD = 2048, 64 << 20
 #: Sample from which frequent elements are learned: rows, how many of them share an element, elements kept at most.
 SAMPLE, OFTEN, FREQUENT = 20_000, 10, 200_000
 #: Bits of a sketch at least; it has two a shingle, up to a power of two.
@@ -329,10 +330,10 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return p.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select(*pairs.columns)
 
 
-def _in_blocks(members: DataFrame, group: str, rows: int) -> DataFrame:
-    """``members`` (group, sid, ...) with task, i, j and own: a group of more than BLOCK members is dealt into blocks, each
-    pair of which, i <= j, is a task of its own; smaller groups share tasks by their hash."""
-    large = members.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+def _in_blocks(members: DataFrame, group: str, rows: int, size: Column) -> DataFrame:
+    """``members`` (group, sid, ...) with task, i, j and own: a group of more than BLOCK members, or HELD bytes by ``size``,
+    is dealt into blocks, each pair of which, i <= j, is a task of its own; smaller groups share tasks by their hash."""
+    large = members.groupBy(group).agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(size) / HELD)).cast("int").alias("blocks")).where("blocks > 1")
     m = members.join(large, group, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     m = m.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     m = m.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
@@ -419,7 +420,7 @@ def _across(runs: DataFrame, roots: DataFrame, sets: DataFrame, num: int, den: i
     rows = written(runs.join(open_runs, "run", "left_semi"), "jaccard-runs")
     members = rows.select("run", F.col("a").alias("sid")).unionAll(rows.select("run", F.col("b").alias("sid"))).distinct()
     rooted = sets.dropDuplicates(["sid"]).join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    members = _in_blocks(members, "run", rows.count()).join(rooted.select("sid", "n", "root", "sketch"), "sid")
+    members = _in_blocks(members.join(rooted.select("sid", "n", "root", "sketch"), "sid"), "run", rows.count(), F.col("n") / 4 + 64)
 
     def sketched(t: pa.Table) -> pa.Table:
         sid, n, root = (t.column(c).to_numpy() for c in ("sid", "n", "root"))
@@ -441,7 +442,7 @@ def _across(runs: DataFrame, roots: DataFrame, sets: DataFrame, num: int, den: i
     # Whatever pair the bound leaves has both its ends in one group of these.
     together = written(components(near, contract=True).select(F.col("node").alias("sid"), F.col("root").alias("party")), "jaccard-parties")
     discard(open_runs, rows, near)
-    members = _in_blocks(together, "party", together.count()).join(rooted, "sid")
+    members = _in_blocks(together.join(rooted, "sid"), "party", together.count(), F.col("n") * 8.25 + 64)
 
     def exact(t: pa.Table) -> pa.Table:
         sid, n, root = (t.column(c).to_numpy() for c in ("sid", "n", "root"))
