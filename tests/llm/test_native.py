@@ -4,7 +4,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from fleetspark.llm import graph, mixing, secrets
+from fleetspark.llm import mixing, secrets
+from fleetspark.operators import graph
 
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
