@@ -31,4 +31,16 @@ e AS (SELECT doc_id, len(x) AS n, unnest(x) AS g FROM s),
 edge AS (SELECT p.doc_id AS a, q.doc_id AS b FROM e p JOIN e q ON p.g = q.g AND p.doc_id <> q.doc_id GROUP BY p.doc_id, q.doc_id, p.n, q.n HAVING 100 * count(*) >= 75 * (p.n + q.n - count(*))),
 {REACH}
 SELECT doc_id, len(x)::BIGINT AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id FROM s LEFT JOIN least ON a = doc_id""",
+    "op11_lexical_search": rf"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+numbered AS (SELECT row_number() OVER () AS r, doc_id, w FROM d),
+whole AS (SELECT count(*) FILTER (WHERE len(w) > 0) AS n, sum(len(w))::BIGINT AS l FROM d),
+i AS (SELECT DISTINCT item_id, unnest(coalesce(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), [])) AS term FROM benchmark),
+word AS (SELECT r, doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM numbered),
+tf AS (SELECT r, doc_id, n, term, count(*)::BIGINT AS tf FROM word WHERE term IN (SELECT term FROM i) GROUP BY r, doc_id, n, term),
+weight AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * max(n) + 2) / (2.0::DOUBLE * max(df) + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), (SELECT n FROM whole) GROUP BY term),
+part AS (SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * tf.n * whole.n) // whole.l)))) AS s FROM tf JOIN weight USING (term), whole),
+scored AS (SELECT item_id, r, doc_id, sum(s)::BIGINT AS score FROM part JOIN i USING (term) GROUP BY item_id, r, doc_id),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 50""",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import compress_classifier, decontaminate, hmm, html_extract, jaccard_join, line_dedup, mixing, near_embeddings, secrets, token_counts
+from . import bpe, compress_classifier, decontaminate, hmm, html_extract, jaccard_join, lexical_search, line_dedup, mixing, near_embeddings, secrets, token_counts, whitening
 from .oracles import ORACLE_SQL  # noqa: F401
 
 QUERIES: dict = {}
@@ -32,12 +32,19 @@ def op9_compress_classifier(spark, sf_dir):
     return compress_classifier.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
+VOCABULARY = "word_bpe_49k.json"
+
+
+def _vocabulary(name: str) -> str:
+    """The place of a public vocabulary, on the driver."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 @_query
-def op4_token_counts(spark, sf_dir, vocabulary=VOCABULARY):
-    return token_counts.counts(_table(spark, sf_dir, "documents"), token_counts.load(vocabulary))
+def op4_token_counts(spark, sf_dir, vocabulary=None):
+    return token_counts.counts(_table(spark, sf_dir, "documents"), token_counts.load(vocabulary or _vocabulary(VOCABULARY)))
 
 
 @_query
@@ -68,3 +75,18 @@ def op7_jaccard_join(spark, sf_dir):
 @_query
 def op6_near_embeddings(spark, sf_dir):
     return near_embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op11_lexical_search(spark, sf_dir):
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op12_whitening(spark, sf_dir):
+    return whitening.digest(_table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op13_bpe(spark, sf_dir, vocabulary=None):
+    return bpe.digest(_table(spark, sf_dir, "documents"), bpe.load(vocabulary or _vocabulary(VOCABULARY)))
