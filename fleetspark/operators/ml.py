@@ -95,16 +95,6 @@ def kmeans(df: DataFrame, features: list[str], k: int = 2, seed: int = 1) -> Dat
     return df.sparkSession.createDataFrame(rows, "cluster int, centre array<double>")
 
 
-def drift(a: DataFrame, b: DataFrame, features: list[str], trees: int = 8) -> float:
-    """Area under the curve of a classifier that tells the frames apart: 0.5 if it can't."""
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-
-    both = assembled(a.select(*features).withColumn("label", F.lit(0.0)).unionByName(b.select(*features).withColumn("label", F.lit(1.0))), features)
-    held = F.pmod(F.xxhash64(*features), F.lit(3)) == 0
-    m = GBTClassifier(labelCol="label", maxIter=trees, maxDepth=3, seed=1).fit(both.where(~held))
-    return BinaryClassificationEvaluator(labelCol="label").evaluate(m.transform(both.where(held)))
-
-
 def post_process(p: Column, floor: Column | None = None, ceiling: Column | None = None) -> Column:
     """Predictions no lower than 0 and the floor, no higher than the ceiling."""
     out = F.greatest(p, F.lit(0.0)) if floor is None else F.greatest(p, F.lit(0.0), floor)

@@ -181,14 +181,6 @@ def experts_digest(spark, sf_dir):
     return digest(a, ml.experts(a, b, FEATURES, "used", F.col("shift") == "C"))
 
 
-@query("drift")
-def drift(spark, sf_dir):
-    """(comparison, auc) of a classifier that tells training shifts from test shifts, and from test shifts made faster."""
-    a, b = _parts(spark, sf_dir)
-    rows = [("test", ml.drift(a, b, FEATURES)), ("faster", ml.drift(a, b.withColumn("speed", F.col("speed") + 60), FEATURES))]
-    return spark.createDataFrame(rows, "comparison string, auc double")
-
-
 @query("importances")
 def importances(spark, sf_dir):
     """(feature, importance) of the boosted trees, largest first."""
