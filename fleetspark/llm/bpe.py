@@ -15,7 +15,9 @@ import codecs
 import heapq
 import json
 import re
+import struct
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -28,8 +30,14 @@ from .token_counts import byte_characters
 
 #: Symbols that are read beyond the lookahead before tokens are emitted.
 BLOCK = 1024
-#: Pieces of text that a task remembers, and the characters of one of them at most; it forgets all beyond that.
-REMEMBERED, MEMORABLE = 300_000, 64
+#: Symbols that are merged by scanning a list; more go through a queue.
+FEW = 24
+#: Above all ranks.
+NEVER = (1 << 60, -1)
+#: Pieces of text that a task remembers of each kind, newer and older ones, and the characters of one of them at most.
+REMEMBERED, MEMORABLE = 250_000, 64
+#: Characters of a run of text from which it goes through the transducer by itself.
+LONG = 1 << 12
 #: Characters of a text that are cut and encoded at a time, at white space where the vocabulary drops it.
 SLICE = 1 << 18
 #: What ``str.split`` takes for white space and Unicode doesn't.
@@ -76,9 +84,28 @@ class Transducer:
 
     def merged(self, symbols: list[int]) -> list[int]:
         """The symbols merged by least rank, leftmost first."""
+        return self._few(symbols) if len(symbols) <= FEW else self._many(symbols)
+
+    def _few(self, symbols: list[int]) -> list[int]:
+        """By the ranks of all neighbours in a list."""
+        ids, rules = list(symbols), self.rules
+        ranks = [rules.get(p, NEVER) for p in zip(ids, ids[1:])]
+        while ranks:
+            least = min(ranks)
+            if least is NEVER:
+                break
+            i = ranks.index(least)
+            ids[i : i + 2] = [least[1]]
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = rules.get((ids[i], ids[i + 1]), NEVER)
+            if i:
+                ranks[i - 1] = rules.get((ids[i - 1], ids[i]), NEVER)
+        return ids
+
+    def _many(self, symbols: list[int]) -> list[int]:
+        """By a queue of pairs."""
         ids, rules, n = list(symbols), self.rules, len(symbols)
-        if n < 2:
-            return ids
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         queue = [(found[0], i, found[1], ids[i], ids[i + 1]) for i in range(n - 1) if (found := rules.get((ids[i], ids[i + 1])))]
         heapq.heapify(queue)
@@ -160,10 +187,13 @@ class Vocabulary:
         """The words of a text without special tokens, each as a stream of symbols."""
         if self.normalizer:
             text = self.normalizer.normalize_str(text)
-        ids, end = self.ids, self.end
         for word, _ in self.splitter.pre_tokenize_str(text) if self.splitter else ([(text, None)] if text else []):
-            last = len(word) - 1
-            yield (s for i, c in enumerate(word) if (s := ids.get(c + end if i == last else c)) is not None)
+            yield self.symbols(word)
+
+    def symbols(self, word: str) -> Iterator[int]:
+        """The symbols that a word begins as; the last one marks its end where the vocabulary does."""
+        get = self.ids.get
+        return (s for s in chain(map(get, word[:-1]), (get(c + self.end) for c in word[-1:])) if s is not None)
 
     def parts(self, text: str) -> Iterator[str | int]:
         """The text between special tokens, in order, and their ids."""
@@ -188,11 +218,29 @@ class Vocabulary:
                     yield from machine.close()
 
 
+class Memo:
+    """Remembers the newer entries: when they are ``size``, they become the older ones, and what was older is forgotten."""
+
+    def __init__(self, size: int = REMEMBERED):
+        self.size, self.new, self.old = size, {}, {}
+
+    def get(self, key):
+        found = self.new.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.new) >= self.size:
+            self.new, self.old = {}, self.new
+        self.new[key] = value
+
+
 class Encoder:
-    """Encodes many texts in a task, remembering what short pieces of text become."""
+    """Encodes many texts in a task, remembering what short runs of text and short words became."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.of, self.known = vocabulary, {}
+        self.of, self.machine, self.runs, self.words = vocabulary, vocabulary.transducer(), Memo(), Memo()
 
     def chunks(self, text: str) -> Iterator[tuple[bytes, bytes]]:
         """Parts of the text in turn: ids as little-endian words, and their tokens' bytes as decoding would join them."""
@@ -203,7 +251,13 @@ class Encoder:
                 yield from self._stream(part)
             else:
                 for begin in self._slices(part):
-                    yield from self._runs(begin)
+                    runs = regex.findall(r"\S+", begin) if SEPARATORS.search(begin) else begin.split()
+                    at = 0
+                    for i in [i for i, r in enumerate(runs) if len(r) > LONG] if len(begin) > LONG else ():
+                        yield from self._runs(runs[at:i])
+                        yield from self._stream(runs[i])
+                        at = i + 1
+                    yield from self._runs(runs[at:])
 
     def _slices(self, text: str) -> Iterator[str]:
         at = 0
@@ -219,27 +273,53 @@ class Encoder:
             yield text[at:end]
             at = end
 
-    def _runs(self, text: str) -> Iterator[tuple[bytes, bytes]]:
-        known, between = self.known, self.of.between
-        ids, tokens = [], []
-        for run in regex.findall(r"\S+", text) if SEPARATORS.search(text) else text.split():
-            found = known.get(run)
+    def _runs(self, runs: list[str]) -> Iterator[tuple[bytes, bytes]]:
+        """Of runs that aren't long, in one chunk."""
+        found = list(map(self.runs.new.get, runs))
+        if None in found:
+            fresh: dict[str, tuple[bytes, bytes] | None] = {r: self.runs.get(r) for r, f in zip(runs, found) if f is None}
+            unknown = [r for r, f in fresh.items() if f is None]
+            for r, f in zip(unknown, self._encoded(unknown)):
+                fresh[r] = f
+                if len(r) <= MEMORABLE:
+                    self.runs.put(r, f)
+            found = [fresh[r] if f is None else f for r, f in zip(runs, found)]
+        found = [f for f in found if f[0]]
+        if found:
+            yield b"".join([f[0] for f in found]), self.of.between.join([f[1] for f in found])
+
+    def _encoded(self, runs: list[str]) -> list[tuple[bytes, bytes]]:
+        """Each run by itself; they are normalised and cut together, with a space between."""
+        if not runs:
+            return []
+        of, words, between = self.of, self.words, self.of.between
+        text = " ".join(runs)
+        if of.normalizer:
+            text = of.normalizer.normalize_str(text)
+        ends, at = [], -1
+        while (at := text.find(" ", at + 1)) >= 0:
+            ends.append(at)
+        ends.append(len(text))
+        out: list[tuple[list[bytes], list[bytes]]] = [([], []) for _ in runs]
+        k = 0
+        for word, (begin, _) in of.splitter.pre_tokenize_str(text):
+            while begin >= ends[k]:
+                k += 1
+            found = words.get(word)
             if found is None:
-                if len(run) > MEMORABLE:
-                    if ids:
-                        yield b"".join(ids), between.join(tokens)
-                        ids, tokens = [], []
-                    yield from self._stream(run)
-                    continue
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                pairs = list(self._stream(run))
-                found = known[run] = b"".join(p[0] for p in pairs), between.join(p[1] for p in pairs)
-            if found[0]:
-                ids.append(found[0])
-                tokens.append(found[1])
-        if ids:
-            yield b"".join(ids), between.join(tokens)
+                tokens = self._word(word)
+                found = _packed(tokens), between.join(map(of.bytes.__getitem__, tokens))
+                if len(word) <= MEMORABLE:
+                    words.put(word, found)
+            out[k][0].append(found[0])
+            out[k][1].append(found[1])
+        return [(b"".join(ids), between.join(tokens)) for ids, tokens in out]
+
+    def _word(self, word: str) -> list[int]:
+        machine = self.machine
+        if len(word) < machine.full:  # what the transducer would hold to the end
+            return machine.merged([*self.of.symbols(word)])
+        return [*machine.feed(self.of.symbols(word)), *machine.close()]
 
     def _stream(self, text: str) -> Iterator[tuple[bytes, bytes]]:
         """By the transducer, in chunks of bounded size."""
@@ -257,7 +337,7 @@ class Encoder:
 
 
 def _packed(ids: list[int]) -> bytes:
-    return b"".join(i.to_bytes(4, "little") for i in ids)
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class Decoder:
