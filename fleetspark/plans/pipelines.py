@@ -96,3 +96,24 @@ def session_gap(spark, sf_dir):
     from fleetspark.streaming.shifts import gap_sessions
 
     return gap_sessions(pings(spark, sf_dir), "4 hours").select("vehicle", F.col("start").cast("timestamp_ntz").alias("start"), "n", R("km", 6).alias("km"))
+
+
+@query("sliding_day", sql(""", b AS (SELECT vehicle, dist, time_bucket(INTERVAL 8 HOUR, ts, TIMESTAMP '2000-01-01 06:00:00') AS start FROM pings)
+SELECT vehicle, start + to_hours(8 * (i + 1)) AS "end", count(*) AS n, round(sum(dist), 6) AS km FROM b, (VALUES (0), (1), (2)) w(i) GROUP BY ALL"""))
+def sliding_day(spark, sf_dir):
+    """Counts and distance of the 24 hours up to each end of a shift."""
+    from fleetspark.streaming import shifts
+
+    return shifts.sliding_day(pings(spark, sf_dir)).select("vehicle", F.col("end").cast("timestamp_ntz").alias("end"), "n", R("km", 6).alias("km"))
+
+
+@query("shift_refuels", sql(""", s AS (SELECT DISTINCT vehicle, date::TIMESTAMP + to_hours(CASE shift WHEN 'A' THEN 6 WHEN 'B' THEN 14 ELSE 22 END) AS start FROM pings)
+SELECT s.vehicle, s.start, count(refuel_ts) AS n, round(coalesce(sum(litres), 0), 6) AS litres, max(refuel_ts) AS last_refuel_ts FROM s LEFT JOIN refuels r ON r.vehicle = s.vehicle AND refuel_ts >= start - INTERVAL 24 HOUR AND refuel_ts < start GROUP BY s.vehicle, s.start"""))
+def shift_refuels(spark, sf_dir):
+    """Refuels in the 24 hours before each shift: the interval join of two streams, on tables."""
+    from fleetspark.streaming.ordered import trailing_refuels
+
+    start = F.col("date").cast("timestamp") + F.make_dt_interval(hours=F.when(F.col("shift") == "A", 6).when(F.col("shift") == "B", 14).otherwise(22))
+    starts = keyed(pings(spark, sf_dir)).select("vehicle", start.alias("start")).distinct()
+    made = trailing_refuels(starts, refuels(spark, sf_dir))
+    return made.select("vehicle", F.col("start").cast("timestamp_ntz").alias("start"), "n", R("litres", 6).alias("litres"), F.col("last_refuel_ts").cast("timestamp_ntz").alias("last_refuel_ts"))

@@ -1,13 +1,10 @@
-"""Streaming forms: windows of shifts, sessions by gaps, and the load state as a stateful operator.
+"""Streaming forms: windows of shifts, days that slide, sessions by gaps. Walks in time order and joins are in ``ordered``.
 
 Each takes a batch or a stream; a stream needs ``watermark`` so that closed windows can be given out and forgotten.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,25 +31,3 @@ def gap_sessions(df: DataFrame, gap: str = "300 seconds", watermark: str | None
     """Sessions of a vehicle that end where nothing comes for ``gap``."""
     g = timed(df, watermark).groupBy("vehicle", F.session_window("ts", gap).alias("w"))
     return g.agg(F.count("*").alias("n"), F.sum("dist").alias("km")).select("vehicle", F.col("w.start").alias("start"), "n", "km")
-
-
-def load_states(df: DataFrame) -> DataFrame:
-    """Each vehicle's load state after each of its rows, on a stream: 1 on leaving the loading zone, 0 in the dump zone,
-    before that 0. Rows of a batch are taken in time order; state is two small numbers a vehicle."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        was_loading, loaded = state.get if state.exists else (False, 0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        out = []
-        for loading, dumping in zip(rows["at_load"], rows["at_dump"]):
-            if dumping:
-                loaded = 0
-            elif was_loading and not loading:
-                loaded = 1
-            was_loading = bool(loading)
-            out.append(loaded)
-        state.update((was_loading, loaded))
-        yield pd.DataFrame({"vehicle": key[0], "event_id": rows["event_id"], "loaded": out})
-
-    rows = df.select("vehicle", "event_id", F.col("ts").cast("timestamp").alias("ts"), "at_load", "at_dump")
-    return rows.groupBy("vehicle").applyInPandasWithState(step, "vehicle long, event_id long, loaded int", "loading boolean, loaded int", "append", "NoTimeout")
