@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetspark.functions import scalars
+from fleetspark.operators import polygons as G
 from fleetspark.operators import spatial as S
 from fleetspark.sources.pings import keyed, pings, sql
 
@@ -83,3 +84,26 @@ def stop_clusters(spark, sf_dir):
     p = p.withColumn("id", (F.col("mine") * 10000 + F.col("x") / 10 + F.col("y") / 1000).cast("string"))
     p = p.withColumn("x", F.col("x") * 0.5 + F.col("y") * 0.11).withColumn("y", F.col("y") * 0.5)
     return S.dbscan(p, "id", 52.0, 3.0, "w", ["mine"]).select("id", "mine", "w", "cluster")
+
+
+#: Pits by the supplier's key: a box of 250 by 180 whose top is open in one of three, with a spur across its right side.
+PITS_SQL = ", pit AS (SELECT s_suppkey AS pit, s_suppkey % 3 = 0 AS gap, (s_suppkey * 37 % 600)::DOUBLE AS x0, (s_suppkey * 53 % 600)::DOUBLE AS y0 FROM supplier), c AS (SELECT count(*) AS n FROM supplier)"
+
+
+def pits(spark, sf_dir):
+    k = F.col("s_suppkey")
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(k.alias("pit"), (k % 3 == 0).alias("gap"), (k * 37 % 600).cast("double").alias("x"), (k * 53 % 600).cast("double").alias("y"))
+    line = lambda a, b, c, d: F.struct((F.col("x") + a).alias("x1"), (F.col("y") + b).alias("y1"), (F.col("x") + c).alias("x2"), (F.col("y") + d).alias("y2"))
+    box = F.array(line(0, 0, 250, 0), line(250, 0, 250, 180), line(0, 180, 0, 0))
+    rest = F.when(F.col("gap"), F.array().cast("array<struct<x1:double,y1:double,x2:double,y2:double>>")).otherwise(F.array(line(250, 180, 0, 180), line(200, 90, 330, 140)))
+    return s.select("pit", F.inline(F.concat(box, rest)))
+
+
+@query("zone_polygons", sql(PITS_SQL + """, p AS (SELECT event_id, x - x0 AS u, y - y0 AS v, gap FROM (SELECT pings.*, vehicle % n AS pit FROM pings, c) LEFT JOIN pit USING (pit)),
+d AS (SELECT *, greatest(-u, 0, u - 250) AS dx, greatest(-v, 0, v - 180) AS dy FROM p)
+SELECT event_id, coalesce(CASE WHEN u IS NULL THEN FALSE WHEN gap THEN least(dx * dx + v * v, u * u + dy * dy, pow(u - 250, 2) + dy * dy) <= 40 * 40 ELSE dx * dx + dy * dy <= 20 * 20 END, FALSE) AS inside FROM d"""))
+def zone_polygons(spark, sf_dir):
+    """Whether each ping is in its vehicle's pit: near the area that the pit's lines close, or near the lines where they leave a gap."""
+    n = spark.read.parquet(f"{sf_dir}/supplier.parquet").agg(F.count("*")).scalar()
+    p = pings(spark, sf_dir).select("event_id", "x", "y", (F.col("vehicle") % n).alias("pit"))
+    return G.within_zones(p, pits(spark, sf_dir), 40.0, "event_id", ["pit"]).select("event_id", "inside")
