@@ -6,10 +6,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetspark.storage import written
-
-from .graph import components
-
 
 def _cells(low: Column, high: Column, size: float) -> Column:
     return F.sequence(F.floor(low / size), F.floor(high / size))
@@ -67,23 +63,3 @@ def assigned_anchor(near: DataFrame, entity: str, anchor: str = "anchor") -> Dat
     n = near.where(F.col(anchor).isNotNull()).groupBy(entity, anchor).agg(F.count("*").alias("n"))
     w = Window.partitionBy(entity).orderBy(F.desc("n"), anchor)
     return n.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
-
-
-def dbscan(points: DataFrame, key: str, eps: float, least_weight: float, weight: str, by: list[str] = ()) -> DataFrame:
-    """Density clusters: a point is core if the weights within ``eps``, its own included, reach ``least_weight``; cores
-    within ``eps`` are one cluster, named by its least key; other points join the least cluster of a core within reach,
-    or none (null). Neighbours are found by a grid of cells as wide as ``eps``.
-    """
-    p = points.select(key, *by, "x", "y", F.col(weight).alias("__w"))
-    a = p.withColumn("__cx", F.floor(F.col("x") / eps)).withColumn("__cy", F.floor(F.col("y") / eps))
-    b = p.select(F.col(key).alias("__k2"), *by, F.col("x").alias("__x2"), F.col("y").alias("__y2"), F.col("__w").alias("__w2"))
-    b = b.withColumn("__cx", F.explode(F.array(*(F.floor(F.col("__x2") / eps) + i for i in (-1, 0, 1)))))
-    b = b.withColumn("__cy", F.explode(F.array(*(F.floor(F.col("__y2") / eps) + i for i in (-1, 0, 1)))))
-    near = a.join(b, [*by, "__cx", "__cy"]).where(F.pow(F.col("x") - F.col("__x2"), 2) + F.pow(F.col("y") - F.col("__y2"), 2) <= eps * eps)
-    near = written(near.select(F.col(key).alias("a"), F.col("__k2").alias("b"), "__w2"), "dbscan-near")
-    core = written(near.groupBy("a").agg(F.sum("__w2").alias("w")).where(F.col("w") >= least_weight).select("a"), "dbscan-core")
-    links = near.select("a", "b").join(core, "a", "left_semi").join(core.withColumnRenamed("a", "b"), "b", "left_semi")
-    roots = components(links)
-    named = core.join(roots.withColumnRenamed("node", "a"), "a", "left").select("a", F.coalesce("root", "a").alias("cluster"))
-    rim = near.select("a", "b").join(core, "a", "left_anti").join(named.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("cluster").alias("cluster"))
-    return points.join(named.unionByName(rim).withColumnRenamed("a", key), key, "left")

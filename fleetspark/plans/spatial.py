@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetspark.functions import scalars
+from fleetspark.operators import density
 from fleetspark.operators import polygons as G
 from fleetspark.operators import spatial as S
 from fleetspark.sources.pings import keyed, pings, sql
@@ -83,7 +84,7 @@ def stop_clusters(spark, sf_dir):
     p = pings(spark, sf_dir).where("speed < 30").groupBy("mine", "x", "y").agg(F.count("*").cast("double").alias("w"))
     p = p.withColumn("id", (F.col("mine") * 10000 + F.col("x") / 10 + F.col("y") / 1000).cast("string"))
     p = p.withColumn("x", F.col("x") * 0.5 + F.col("y") * 0.11).withColumn("y", F.col("y") * 0.5)
-    return S.dbscan(p, "id", 52.0, 3.0, "w", ["mine"]).select("id", "mine", "w", "cluster")
+    return density.dbscan(p, "id", 52.0, 3.0, "w", ["mine"]).select("id", "mine", "w", "cluster")
 
 
 #: Pits by the supplier's key: a box of 250 by 180 whose top is open in one of three, with a spur across its right side.

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import fleetspark.plans  # noqa: F401
 from fleetspark.functions import keys, scalars
-from fleetspark.operators import aggregates, joins, ml, quality, sequence, spatial, stats
+from fleetspark.operators import aggregates, density, joins, ml, quality, sequence, spatial, stats
 from fleetspark.plans import registry
 from fleetspark.sources import files
 
@@ -167,7 +167,7 @@ def test_dbscan_against_brute_force(spark):
         for a in core:
             name[a] = min(name[b] for b in near[a] if b in core)
     want = {a[0]: name[a] if a in core else min((name[b] for b in near[a] if b in core), default=None) for a in pts}
-    got = spatial.dbscan(frame(spark, pts, "id int, x double, y double, w double"), "id", 20.0, 6.0, "w")
+    got = density.dbscan(frame(spark, pts, "id int, x double, y double, w double"), "id", 20.0, 6.0, "w")
     assert {r.id: r.cluster for r in got.collect()} == want
 
 
