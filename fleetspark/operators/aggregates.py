@@ -111,42 +111,45 @@ def all_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     return row.select(F.inline("rows"))
 
 
-def _in_ranges(df: DataFrame, counts: DataFrame, x: str, n: str, ranges: int) -> DataFrame:
-    """``counts``, a row a value of x, with __below: the sum of ``n`` over lesser values. Values are ordered within ranges
-    cut at quantiles of ``df``, whose totals are carried over, so no task orders them all; only the cuts come to the driver."""
-    cuts = sorted(set(df.approxQuantile(x, [i / ranges for i in range(1, ranges)], 0.25 / ranges)))
-    part = F.size(F.filter(F.lit(cuts) if cuts else F.array().cast("array<double>"), lambda c: c < F.col(x)))
-    counts = counts.withColumn("__part", part)
-    totals = counts.groupBy("__part").agg(F.sum(n).alias("__pn"))
-    carried = totals.select("__part", (F.sum("__pn").over(Window.orderBy("__part")) - F.col("__pn")).alias("__carry"))
-    below = F.col("__carry") + F.sum(n).over(Window.partitionBy("__part").orderBy(x)) - F.col(n)
-    return counts.join(carried, "__part").withColumn("__below", below).drop("__part", "__carry")
+def in_ranges(df: DataFrame, counts: DataFrame, x: str, n: str, ranges: int = 64, by: list[str] = ()) -> DataFrame:
+    """``counts``, a row a value of x (of each ``by``), with __below: the sum of ``n`` over lesser values of the same ``by``.
+
+    Values are ordered within ranges that hold like shares of all rows of ``df``, so that no task orders more than about a range,
+    also of a group that holds most rows; a group's totals by range are carried over. The cuts are found by a sketch, as a scalar of
+    the same job."""
+    cuts = df.agg(F.percentile_approx(F.col(x).cast("double"), [i / ranges for i in range(1, ranges)], F.lit(64 * ranges)).alias("c")).scalar()
+    part = F.size(F.filter(F.coalesce(F.array_distinct("__cuts"), F.array().cast("array<double>")), lambda c: c < F.col(x)))
+    counts = counts.withColumn("__cuts", cuts).withColumn("__part", part).drop("__cuts")
+    keys = [f"__g{i}" for i in range(len(by))]
+    totals = counts.groupBy(*(F.col(c).alias(k) for c, k in zip(by, keys)), F.col("__part").alias("__p")).agg(F.sum(n).alias("__pn"))
+    before = Window.partitionBy(*keys).orderBy("__p")
+    carried = totals.select(*keys, "__p", (F.sum("__pn").over(before) - F.col("__pn")).alias("__carry"))
+    same = F.col("__part") == F.col("__p")
+    for c, k in zip(by, keys):
+        same = same & F.col(c).eqNullSafe(F.col(k))
+    below = F.col("__carry") + F.sum(n).over(Window.partitionBy(*by, "__part").orderBy(x)) - F.col(n)
+    return counts.join(carried, same).withColumn("__below", below).drop("__part", "__carry", "__p", *keys)
 
 
 def exact_quantiles(df: DataFrame, x: str, qs: dict[str, float], ranges: int = 64) -> DataFrame:
     """One row with exact quantiles of the whole table, interpolated between neighbours, by name; null for nothing. Values
     are counted first and ordered in ranges, where ``percentile`` over a whole table brings all values to one task."""
     d = df.select(F.col(x).cast("double").alias("__x")).where(F.col("__x").isNotNull() & ~F.isnan("__x"))
-    total = d.count()
-    counts = _in_ranges(d, d.groupBy("__x").agg(F.count("*").alias("__n")), "__x", "__n", ranges)
-    end = F.col("__below") + F.col("__n")
-    made = []
+    counts = d.groupBy("__x").agg(F.count("*").alias("__n"))
+    counts = in_ranges(d, counts, "__x", "__n", ranges).withColumn("__last", F.greatest(d.agg(F.count("*")).scalar() - 1, F.lit(0)))
+    end, last = F.col("__below") + F.col("__n"), F.first("__last")
+    made, low = [], {name: F.floor(q * F.col("__last")) for name, q in qs.items()}
     for name, q in qs.items():
-        at = q * max(total - 1, 0)
-        low = int(at)
-        lower, upper = (F.min(F.when(end > r, F.col("__x"))) for r in (low, min(low + 1, max(total - 1, 0))))
-        made.append((lower + (upper - lower) * (at - low)).alias(name))
+        lower, upper = (F.min(F.when(end > r, F.col("__x"))) for r in (low[name], F.least(low[name] + 1, F.col("__last"))))
+        made.append((lower + (upper - lower) * (q * last - F.floor(q * last))).alias(name))
     return counts.agg(*made)
 
 
 def area_under_curve(df: DataFrame, score: str, label: str, by: list[str] = (), ranges: int = 64) -> DataFrame:
     """(by, auc): the chance that a row with a true label scores above one with a false label, ties counting half; rows
-    without score or label are left out. Rows are counted by score first; without ``by``, scores are ordered in ranges."""
+    without score or label are left out. Rows are counted by score first, and scores are ordered in ranges."""
     counts = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, score).agg(F.count_if(F.col(label)).alias("__t"), F.count_if(~F.col(label)).alias("__f"))
-    if by:
-        counts = counts.withColumn("__below", F.sum("__f").over(Window.partitionBy(*by).orderBy(score)) - F.col("__f"))
-    else:
-        counts = _in_ranges(df, counts, score, "__f", ranges)
+    counts = in_ranges(df.where(F.col(score).isNotNull()), counts, score, "__f", ranges, by)
     counts = counts.withColumn("__won", F.col("__t") * (F.col("__below") + F.col("__f") / 2))
     t, f = F.sum("__t"), F.sum("__f")
     won = F.sum("__won") / F.when(t * f > 0, t * f)

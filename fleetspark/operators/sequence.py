@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .aggregates import in_ranges
+
 
 def ordered(by: list[str], order: list[str]):
     return Window.partitionBy(*by).orderBy(*order)
@@ -108,13 +110,15 @@ def average_rank(x: Column, by: list[str] | None = None) -> Column:
     return F.when(x.isNotNull(), (rank + (tied - 1) / 2.0) / F.count(x).over(part))
 
 
-def average_ranks(df: DataFrame, x: str, by: list[str], out: str) -> DataFrame:
+def average_ranks(df: DataFrame, x: str, by: list[str], out: str, ranges: int = 64) -> DataFrame:
     """``df`` with ``average_rank`` of x, for groups that may hold much of the table: rows are counted by group and value,
-    ranks run over the distinct values only and are joined back. Nulls of x and of ``by`` have no rank."""
-    counts = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("__n"))
-    below = F.sum("__n").over(Window.partitionBy(*by).orderBy(x)) - F.col("__n")
-    ranks = counts.withColumn(out, (below + (F.col("__n") + 1) / 2.0) / F.sum("__n").over(Window.partitionBy(*by))).drop("__n")
-    return df.join(ranks, [*by, x], "left")
+    values are ordered in ranges, and the ranks are joined back. Nulls of x and of ``by`` have no rank."""
+    known = df.where(F.col(x).isNotNull())
+    counts = in_ranges(known, known.groupBy(*by, x).agg(F.count("*").alias("__n")), x, "__n", ranges, by)
+    sizes = known.groupBy(*by).agg(F.count("*").alias("__all"))
+    rank = (F.col("__below") + (F.col("__n") + 1) / 2.0) / F.col("__all")
+    counts = counts.join(sizes, by) if by else counts.crossJoin(F.broadcast(sizes))
+    return df.join(counts.select(*by, x, rank.alias(out)), [*by, x], "left")
 
 
 def deviation(x: str, by: list[str]) -> Column:

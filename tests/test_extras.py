@@ -89,3 +89,13 @@ def test_greedy_gate_over_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
     assert {(r["v"], r["i"]) for r in found} == want and len(found) == len(want)
+
+
+def test_no_window_orders_a_groups_values(spark):
+    """A group that holds most rows: windows over values run by range, too; those by group alone run over the ranges' totals."""
+    df = spark.range(4000).select((F.col("id") % 10 > 7).cast("int").alias("g"), (F.col("id") * 7919 % 4001).cast("double").alias("x"), (F.col("id") % 3 == 0).alias("y"))
+    for made, value in ((sequence.average_ranks(df, "x", ["g"], "rank"), "x"), (aggregates.area_under_curve(df, "x", "y", ["g"]), "x")):
+        text = made._jdf.queryExecution().optimizedPlan().toString()
+        windows = [line for line in text.splitlines() if "Window [" in line]
+        assert windows and all("__part" in w.split("windowspecdefinition(", 1)[1].split(" ASC")[0] for w in windows if f"{value}#" in w) and any("__p#" in w for w in windows)
+    assert df.count() == sequence.average_ranks(df, "x", ["g"], "rank").where("rank IS NOT NULL").count()
