@@ -54,3 +54,16 @@ def gap_seconds(by: list[str], ts: str = "ts", tiebreak: str | None = None, firs
     gap = seconds_between(F.col(ts), F.lead(ts).over(w)) if ahead else seconds_between(F.lag(ts).over(w), F.col(ts))
     gap = F.greatest(F.coalesce(gap, F.lit(float(first))), F.lit(0.0))
     return gap if cap is None else F.least(gap, F.lit(float(cap)))
+
+
+def has_prefix(x: Column, prefixes: list[str]) -> Column:
+    """Whether a text begins with one of the prefixes, false for null: a filter that reaches the scan."""
+    found = F.lit(False)
+    for p in prefixes:
+        found = found | x.startswith(p)
+    return F.coalesce(found, F.lit(False))
+
+
+def unique(names: list[str], there: list[str] | None = None) -> list[str]:
+    """The names in order, each once, and only those that are in ``there``, if given: what to select when lists of columns are joined."""
+    return [c for c in dict.fromkeys(names) if there is None or c in there]

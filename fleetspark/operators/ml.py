@@ -82,10 +82,10 @@ def ridge(df: DataFrame, features: list[str], target: str, alpha: float = 10.0)
     return df.sparkSession.createDataFrame(rows, "feature string, coefficient double")
 
 
-def isotonic(df: DataFrame, score: str, target: str, out: str = "calibrated") -> DataFrame:
-    """Monotone calibration of a score; beyond the fitted range the ends hold."""
+def isotonic(df: DataFrame, score: str, target: str, out: str = "calibrated", to: DataFrame | None = None) -> DataFrame:
+    """Monotone calibration of a score, fitted on ``df`` and given to ``to``, or to it; beyond the fitted range the ends hold."""
     m = IsotonicRegression(featuresCol=score, labelCol=target, predictionCol=out).fit(df)
-    return m.transform(df)
+    return m.transform(df if to is None else to)
 
 
 def kmeans(df: DataFrame, features: list[str], k: int = 2, seed: int = 1) -> DataFrame:
@@ -153,12 +153,12 @@ def scaled_blends(df: DataFrame, target: str, p: str, r: str, gammas: list[float
     return d.select("gamma", "alpha", ((F.col("yy") - 2 * a * F.col("yb") + a * a * F.col("bb")) / F.col("n")).alias("mse"))
 
 
-def gated(df: DataFrame, raw: str, calibrated: str, target: str, out: str, least_gain: float = 0.0, floor: float | None = None) -> DataFrame:
+def gated(df: DataFrame, raw: str, calibrated: str, target: str, out: str, least_gain: float = 0.0, floor: float | None = None, gate: DataFrame | None = None) -> DataFrame:
     """The calibrated prediction, no lower than ``floor``, if it lowers the root mean squared error over the rows with a
-    target by more than ``least_gain``; else the raw one."""
+    target, of ``gate`` or else of ``df``, by more than ``least_gain``; else the raw one."""
     c = F.col(calibrated) if floor is None else F.greatest(F.col(calibrated), F.lit(floor))
     error = lambda x: F.sqrt(F.avg(F.pow(x - F.col(target), 2)))
-    gain = df.agg((error(F.col(raw)) - error(c)).alias("gain")).scalar()
+    gain = (df if gate is None else gate).agg((error(F.col(raw)) - error(c)).alias("gain")).scalar()
     return df.withColumn("__gain", gain).withColumn(out, F.when(F.col("__gain") > least_gain, c).otherwise(F.col(raw))).drop("__gain")
 
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from fleetspark.functions import keys, scalars
-from fleetspark.operators import stats
+from fleetspark.operators import narrow, stats
+from fleetspark.sources import incremental, probe
+from fleetspark.sources.files import discover
 from fleetspark.sources.pings import keyed, pings, shift_totals, sql
+from fleetspark.storage import shared_dir
 
 from .registry import query
 
@@ -207,7 +212,11 @@ def missing_telemetry(spark, sf_dir):
     return pings(spark, sf_dir).select("event_id", stats.missing_row(c).alias("all_missing"), stats.missing_row(c, True).alias("any_missing"))
 
 
-@query("feature_list", "SELECT unnest(['l_discount', 'l_extendedprice', 'l_linenumber', 'l_orderkey', 'l_partkey', 'l_quantity', 'l_suppkey']) AS feature")
+#: Numeric columns of lineitem by DuckDB's own types, those that vary by their values.
+FEATURE_SQL = "WITH numeric_columns AS (SELECT column_name AS feature FROM (DESCRIBE lineitem) WHERE column_type IN ('TINYINT', 'SMALLINT', 'INTEGER', 'BIGINT', 'FLOAT', 'DOUBLE')), varying AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature FROM lineitem HAVING count(DISTINCT {c}) > 1" for c in ("l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_shipdate").split()) + ") SELECT feature FROM numeric_columns JOIN varying USING (feature) WHERE feature NOT LIKE '%tax%'"
+
+
+@query("feature_list", FEATURE_SQL)
 def feature_list(spark, sf_dir):
     """Numeric columns of lineitem that vary and don't name a forbidden thing: decided from the schema and one pass."""
     df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
@@ -229,3 +238,42 @@ def lenient_numbers(spark, sf_dir):
 @query("constant_probe", sql("SELECT DISTINCT vehicle, 173.4::DOUBLE AS predicted FROM pings"))
 def constant_probe(spark, sf_dir):
     return pings(spark, sf_dir).select("vehicle").distinct().withColumn("predicted", F.lit(173.4))
+
+
+@query("prefix_filter", sql("SELECT event_type, mine, count(*) AS n FROM pings WHERE starts_with(event_type, 'p') OR starts_with(event_type, 'c') GROUP BY ALL"))
+def prefix_filter(spark, sf_dir):
+    """Rows of the kinds whose names begin with one of the prefixes."""
+    p = pings(spark, sf_dir).where(keys.has_prefix(F.col("event_type"), ["p", "c"]))
+    return p.groupBy("event_type", "mine").agg(F.count("*").alias("n"))
+
+
+NARROW = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+
+
+@query("narrow_types", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CASE WHEN min({c}) >= -128 AND max({c}) <= 127 THEN 'tinyint' WHEN min({c}) >= -32768 AND max({c}) <= 32767 THEN 'smallint' WHEN min({c}) >= -2147483648 AND max({c}) <= 2147483647 THEN 'int' ELSE 'bigint' END AS narrow, min({c})::DOUBLE AS least, max({c})::DOUBLE AS greatest FROM lineitem" for c in NARROW))
+def narrow_types(spark, sf_dir):
+    """The narrowest types of the whole numbers of lineitem, from one pass."""
+    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return narrow.narrowest(df, NARROW).select("column", "narrow", "least", "greatest")
+
+
+PROBED = ["events", "supplier", "orders"]
+
+
+@query("file_probe", " UNION ALL ".join(f"SELECT '{t}' AS name, (SELECT count(*) FROM {t})::BIGINT AS rows, {n} AS missing" for t, n in zip(PROBED, ("0", *["(SELECT count(*) FROM (DESCRIBE events))::INT"] * 2))))
+def file_probe(spark, sf_dir):
+    """Rows of tables by their files' footers, and how many of the columns of events each lacks."""
+    paths = [p for t in PROBED for p in discover(spark, f"{sf_dir}/{t}.parquet")]
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    report = probe.probe(spark, paths, schema).withColumn("name", F.regexp_extract("path", r"/(\w+)\.parquet", 1))
+    return report.groupBy("name").agg(F.sum("rows").alias("rows"), F.max(F.size("missing")).alias("missing"))
+
+
+@query("incremental_build", sql("SELECT vehicle, round(sum(dist), 4) AS dist, count(*) AS n, min(ts) AS first, max(ts) AS last FROM pings WHERE vehicle IS NOT NULL GROUP BY vehicle"))
+def incremental_build(spark, sf_dir):
+    """Totals of vehicles from a build over the files of events, batch by batch, whose parts are merged."""
+    at = f"{shared_dir(spark)}/incremental-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    parts = lambda df: df.where("user_id IS NOT NULL").groupBy(F.col("user_id").alias("vehicle")).agg(F.sum("value").alias("dist"), F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    incremental.build(spark, f"{sf_dir}/events.parquet", schema, f"{at}/parts", f"{at}/checkpoint", parts).awaitTermination()
+    return incremental.merged(spark, f"{at}/parts", ["vehicle"], ["dist", "n"], ["first"], ["last"]).select("vehicle", R("dist", 4).alias("dist"), "n", "first", "last")
