@@ -84,3 +84,14 @@ def fixed_blend(spark, sf_dir):
     """A blend of two of three predictions by fixed weights, as the third isn't there."""
     p = pings(spark, sf_dir).select("event_id", (F.col("speed") * 5).alias("ensemble"), (F.col("k") * 5.0).alias("stacked"))
     return p.select("event_id", R(ml.fixed_blend(p, {"ensemble": 0.5, "stacked": 0.3, "baseline": 0.2}), 6).alias("predicted"))
+
+
+@query("kmeans_digest", sql("SELECT 2::BIGINT AS clusters, count(*) AS n, TRUE AS nearer FROM pings WHERE speed < 30"))
+def kmeans_digest(spark, sf_dir):
+    """The clusters, the points, and that these are nearer to the closest centre than three quarters of as far as to the middle of all, in squares."""
+    p = pings(spark, sf_dir).where("speed < 30")
+    centres = [r["centre"] for r in ml.kmeans(p, ["x", "y"]).collect()]  # one a cluster
+    away = lambda x, y: F.pow(F.col("x") - x, 2) + F.pow(F.col("y") - y, 2)
+    p = p.withColumns({"mx": p.agg(F.avg("x")).scalar(), "my": p.agg(F.avg("y")).scalar()})
+    near, all_ = F.least(*(away(F.lit(a), F.lit(b)) for a, b in centres)), away(F.col("mx"), F.col("my"))
+    return p.agg(F.lit(len(centres)).cast("long").alias("clusters"), F.count("*").alias("n"), (F.sum(near) < 0.75 * F.sum(all_)).alias("nearer"))

@@ -71,16 +71,26 @@ def day_features(spark, sf_dir):
     return rounded(features(signals(keyed(pings(spark, sf_dir)), SHIFT[:2]), SHIFT[:2]))
 
 
-@query("shift_table", None)
+START_SQL = "date::TIMESTAMP + to_hours(CASE shift WHEN 'A' THEN 6 WHEN 'B' THEN 14 ELSE 22 END)"
+TABLE_SQL = sql(f""", f AS ({features_sql('vehicle, date, shift')}), v AS (SELECT vehicle, date, shift, {START_SQL} AS start FROM f),
+near AS (SELECT v.vehicle, v.date, v.shift, arg_max(litres, epoch_us(refuel_ts)::HUGEINT * 1000000000 + refuel_id) AS last_litres, max(refuel_ts) AS t, coalesce(sum(litres) FILTER (WHERE refuel_ts >= start - INTERVAL 24 HOUR), 0) AS s, count(litres) FILTER (WHERE refuel_ts >= start - INTERVAL 24 HOUR) AS c
+  FROM v JOIN refuels r ON r.vehicle = v.vehicle AND refuel_ts < start GROUP BY ALL)
+SELECT f.*, round(last_litres, 5) AS last_litres, round(coalesce(s, 0), 5) AS refuel_24h_sum, coalesce(c, 0) AS refuel_24h_count, round(coalesce((epoch_us({START_SQL}) - epoch_us(t)) / 3.6e9::DOUBLE, 1e6) + 1e-9, 5) AS hours_since_refuel,
+  isodow(date)::INT - 1 AS dow, week(date)::INT AS iso_week, day(date)::INT AS day, month(date)::INT AS month, (isodow(date) >= 6)::INT AS is_weekend, round(used, 5) AS used
+FROM f LEFT JOIN near USING (vehicle, date, shift) LEFT JOIN (SELECT vehicle, date, shift, used FROM totals) USING (vehicle, date, shift)""")
+
+
+@query("shift_table", TABLE_SQL)
 def shift_table(spark, sf_dir):
-    """The flagship with labels, refuels before the shift and calendar: what a trainer reads. Its parts have oracles."""
+    """The flagship with labels, refuels before the shift and calendar: what a trainer reads."""
     f = features(signals(keyed(pings(spark, sf_dir)), SHIFT), SHIFT).withColumn("start", F.to_timestamp_ntz(F.concat_ws(" ", F.col("date").cast("string"), F.expr("CASE shift WHEN 'A' THEN '06:00:00' WHEN 'B' THEN '14:00:00' ELSE '22:00:00' END"))))
     r = refuels(spark, sf_dir)
     f = asof_join(f, r, ["vehicle"], "start", "refuel_ts", ["litres"], order=["refuel_id"])
     f = trailing(f, r, ["vehicle"], "start", "refuel_ts", "litres", prefix="refuel_24h_")
     f = f.withColumn("hours_since_refuel", F.coalesce(keys.seconds_between(F.col("last_refuel_ts"), F.col("start")) / 3600, F.lit(1e6)))
     f = f.withColumns({n: c for n, c in scalars.calendar(F.col("date")).items()})
-    return f.join(shift_totals(spark, sf_dir).select(*SHIFT, "used"), SHIFT, "left").drop("start", "last_refuel_ts")
+    out = rounded(f).join(shift_totals(spark, sf_dir).select(*SHIFT, "used"), SHIFT, "left").drop("start", "last_refuel_ts")
+    return out.withColumns({c: R(c, 5) for c in ("last_litres", "refuel_24h_sum", "used")}).withColumn("hours_since_refuel", R(F.col("hours_since_refuel") + 1e-9, 5))
 
 
 @query("tumbling_shift", sql("SELECT vehicle, time_bucket(INTERVAL 8 HOUR, ts, TIMESTAMP '2000-01-01 06:00:00') AS start, count(*) AS n, round(sum(dist), 6) AS km FROM pings GROUP BY ALL"))
