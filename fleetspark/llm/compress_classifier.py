@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import remainder, shipped
+from .common import discard, remainder, shipped, written
 
-#: Bounds of the sample that is learned from: rows of either label, and pieces of PIECE characters from all over each text.
-SAMPLE_ROWS, SAMPLE_PIECES = 3000, 64
-#: Texts of either sort below which nothing is learned: a third of them has to calibrate.
-SMALLEST = 12
+#: Bounds of the sample that is learned from: labelled rows of either label, and bytes of their whole texts.
+SAMPLE_ROWS, SAMPLE_BYTES = 3000, 16 << 20
+#: Precision of what the curve is drawn towards (the share of good texts, and no slope): that of any number of texts, and of one's worth.
+RIDGE, DRAWN = 0.02, 1.0
 PIECE, DICTIONARY, LEVEL = 128, 112_640, 3
 
 
@@ -42,7 +42,7 @@ class Model:
     def scorer(self):
         """A function from UTF-8 text to its score."""
         options = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
-        with_good, with_bad = (zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d), **options).compress for d in (self.good, self.bad))
+        with_good, with_bad = (zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d) if d else None, **options).compress for d in (self.good, self.bad))
 
         def features(text: bytes) -> list[float]:
             cut = pieces(text)
@@ -60,16 +60,14 @@ class Model:
 
 
 def fit(good: list[str], bad: list[str], seed: int = 7) -> Model:
-    """Dictionaries from two thirds of the texts of either sort, the curve from the rest. With fewer than
-    SMALLEST texts of either sort every score is the share of good ones, or 0.5 if there are none at all.
+    """Dictionaries from two thirds of the texts of either sort, the curve from the rest. The fewer texts there are, the nearer the curve
+    stays to the share of good ones, 0.5 if there are none at all.
     """
     rng = random.Random(seed)
     good, bad = sorted(good), sorted(bad)
     rng.shuffle(good), rng.shuffle(bad)
     prior = math.log((len(good) + 0.5) / (len(bad) + 0.5))
-    if len(good) < SMALLEST or len(bad) < SMALLEST:
-        return Model(b"", b"", [prior, 0, 0, 0, 0, 0, 0])
-    part = lambda texts, held: [t.encode() for i, t in enumerate(texts) if (i % 3 == 0) == held]
+    part = lambda texts, held: [t.encode() for i, t in enumerate(texts) if (i % 3 == 1) == held]
 
     def dictionary(texts: list[bytes]) -> bytes:
         cut = [x for t in texts for x in pieces(t) if x]
@@ -77,18 +75,20 @@ def fit(good: list[str], bad: list[str], seed: int = 7) -> Model:
         size = max(1024, min(DICTIONARY, sum(map(len, cut)) // 8))
         try:
             return zstandard.train_dictionary(size, cut).as_bytes()
-        except zstandard.ZstdError:  # too little text to train on: the text itself serves
+        except (zstandard.ZstdError, ValueError):  # too little text to train on: the text itself serves
             return b"".join(cut)[:size]
 
     model = Model(dictionary(part(good, False)), dictionary(part(bad, False)), [])
     features = model.scorer()
-    x = np.array([features(t) for t in part(good, True) + part(bad, True)])
+    shown = [*part(good, True), *part(bad, True)]
+    x = np.array([features(t) for t in shown]).reshape(len(shown), len(features(b"")))
     y = np.array([1.0] * len(part(good, True)) + [0.0] * len(part(bad, True)))
-    w = np.zeros(x.shape[1])
-    ridge = np.diag([0.0] + [0.02] * (x.shape[1] - 1))
+    aim = np.array([prior] + [0.0] * (x.shape[1] - 1))
+    w, pull = aim.copy(), DRAWN / max(1, min(len(good), len(bad)))
+    ridge = np.diag([pull] + [RIDGE + pull] * (x.shape[1] - 1))
     for _ in range(60):  # Newton's method
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (y - p) - ridge @ w
+        grad = x.T @ (y - p) - ridge @ (w - aim)
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge + 1e-9 * np.eye(len(w)), grad)
         w += step / max(1.0, np.abs(step).max() / 4)
         if np.abs(step).max() < 1e-9:
@@ -97,9 +97,9 @@ def fit(good: list[str], bad: list[str], seed: int = 7) -> Model:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Learns from labelled rows outside the held-out fold: at most ``sample_rows`` of either label, those with the least
-    hash of their id, and of a text longer than SAMPLE_PIECES pieces as many at equal distances from its start to its end. Null labels, ids and texts aren't used; an id with
+def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Learns from whole texts of labelled rows outside the held-out fold: at most ``sample_rows`` of either label, those with the least
+    hash of their id, as long as their texts take ``sample_bytes`` together; one that would take more is passed over. Null labels, ids and texts aren't used; an id with
     several texts gives the least of them; an id with both labels counts for both.
     """
     marked = labels.select("doc_id", F.col("quality").alias("y")).where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (remainder(F.col("doc_id"), folds) != held)).distinct()
@@ -107,9 +107,15 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, sam
     chosen = [marked.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows) for y in (0, 1)]
     chosen = docs.sparkSession.createDataFrame(chosen[0].union(chosen[1]).collect(), marked.schema)
     whole = docs.select("doc_id", "text").where("text is not null and text <> ''").join(F.broadcast(chosen), "doc_id")
-    spread = F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_PIECES - 1)), lambda i: F.substring("text", F.floor(i * (F.length("text") - PIECE) / (SAMPLE_PIECES - 1)).cast("int") + 1, F.lit(PIECE)))
-    some = F.when(F.length("text") <= SAMPLE_PIECES * PIECE, F.col("text")).otherwise(F.concat_ws("", spread))
-    sample = whole.select("doc_id", "y", some.alias("t")).groupBy("doc_id", "y").agg(F.min("t").alias("t")).collect()
+    whole = written(whole.groupBy("doc_id", "y").agg(F.min("text").alias("t")), "labelled")
+    left, kept = {0: sample_bytes, 1: sample_bytes}, []
+    for r in whole.select("doc_id", "y", F.octet_length("t").alias("n"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").collect():  # of the sample
+        if r["n"] <= left[r["y"]]:
+            left[r["y"]] -= r["n"]
+            kept.append((r["doc_id"], r["y"]))
+    kept = docs.sparkSession.createDataFrame(kept, marked.schema)
+    sample = whole.join(F.broadcast(kept), ["doc_id", "y"], "left_semi").collect()
+    discard(whole)
     good, bad = ([r["t"] for r in sample if r["y"] == y] for y in (1, 0))
     model = fit(good, bad)
     if good and bad:  # the sample has its own share of good rows; scores follow that of all
@@ -132,7 +138,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", score: str = "scor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held()
-        features = m.scorer() if m.good else lambda t: [1.0]
+        features = m.scorer()
         for b in batches:
             out = [m.score(features(t or b"")) for t in b.column(at).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], schema.names)

@@ -126,6 +126,44 @@ def test_classifier(spark):
     assert {r.score for r in none} == {0.5}
 
 
+def test_scores_against_plain_python(spark):
+    """A fixed model's scores, piece by piece; a sample's bound in bytes; few texts stay near their share."""
+    import zstandard
+
+    rng = random.Random(8)
+    model = C.Model(b"the cat sat on the mat and " * 60, b"BUY now$$ cheap%% " * 60, [0.3, 1.0, 0.5, -0.2, 0.1, 0.05, 0.2])
+    texts = ["", None, "the cat", "BUY " * 500, "é" * 77, "".join(rng.choice("ab c\n") for _ in range(4000))]
+
+    def plain(t):
+        t = (t or "").encode()
+        cut = [t[i : i + 128] for i in range(0, len(t), 128)]
+        size = []
+        for d in (model.good, model.bad):
+            z = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False)
+            size.append(max(1, sum(len(z.compress(x)) - 9 for x in cut)))
+        g, b = size
+        d, r, sure = (b - g) / (b + g), (g + b) / (2 * max(1, len(t))), min(1.0, len(t) / 400)
+        z = sum(w * f for w, f in zip(model.weights, [1.0, 10 * d * sure, 10 * d * (1 - sure), 20 * d * abs(d), r, r * r, sure]))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+    out = C.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), model).collect()
+    assert [r.score for r in sorted(out, key=lambda r: r.doc_id)] == pytest.approx([plain(t) for t in texts])
+    alone = C.fit(["the cat"], [])
+    assert C.Model(alone.good, alone.bad, alone.weights).score(alone.scorer()(b"the dog")) > 0.5 and C.fit([], []).weights == [0.0] * 7
+    few = [C.fit(["the cat sat on it " * 9] * n, ["BUY now$$ cheap%% " * 9] * n) for n in (1, 2, 60)]
+    gaps = [m.score(m.scorer()(b"the cat sat on it " * 9)) - m.score(m.scorer()(b"BUY now$$ cheap%% " * 9)) for m in few]
+    assert 0 <= gaps[0] < gaps[2] and gaps[1] < gaps[2] > 0.9
+    docs = spark.createDataFrame([(i, "x" * 1000 if i == 1 else f"text {i}") for i in range(40)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    seen = []
+    fitted, C.fit = C.fit, lambda good, bad: (seen.append((good, bad)), fitted(good, bad))[1]
+    try:
+        C.train(docs, marks, sample_bytes=60), C.train(docs, marks)
+    finally:
+        C.fit = fitted
+    assert all(sum(map(len, t)) <= 60 and t for t in seen[0]) and "x" * 1000 in seen[1][0] and len(seen[1][0]) > len(seen[0][0])
+
+
 def test_spans_of_long_texts(params, monkeypatch):
     """Long texts in spans give what they give as a whole."""
     rng = np.random.default_rng(5)
