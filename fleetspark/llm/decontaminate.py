@@ -4,9 +4,9 @@ The automaton accepts every run of words that stands in some item. A document's
 the state's length is that of the longest run of document words, ending here, that some item holds. Where it reaches the
 window's length, the last ``window`` words stand in an item and are hit. An item shorter than a window is a window itself.
 
-The items are read in shards of a bounded number of words, one automaton each. All shards are built on the driver and
-broadcast together, and the documents pass through them in one narrow stage; so the items as a whole are bounded too: more
-than ITEM_BYTES of them are refused, with an error, and go in several calls.
+The items are read in shards of a bounded number of words, one automaton each. The shards of PASS_BYTES of items are built
+and broadcast together, and the documents pass through them in one narrow stage. More items take several passes: the documents are
+written with what was found so far, and each pass adds its own spans and items to it.
 """
 
 from __future__ import annotations
@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import WORDS, shipped, written
+from .common import WORDS, discard, shipped, written
 
 #: Words of one shard of items: about 100 MB of automaton.
 SHARD_WORDS = 400_000
-#: Bytes of all items' texts at most: their automata take some 40 times as much.
-ITEM_BYTES = 16 << 20
+#: Bytes of the items' texts of one pass: their automata take some 40 times as much.
+PASS_BYTES = 4 << 20
 
 
 def words(text: bytes) -> list[bytes]:
@@ -140,14 +140,22 @@ class SuffixAutomaton:
         return spans, found, longest
 
 
-def _shards(items: DataFrame, item_id: str, text: str, window: int, shard_words: int, item_bytes: int = ITEM_BYTES):
-    """The automata, built one after the other from bounded parts of ``items``."""
+def _passes(items: DataFrame, item_id: str, text: str, pass_bytes: int) -> list[DataFrame]:
+    """(id, text) of the items, in parts of about ``pass_bytes`` of text; one part for a table that takes no more."""
     kept = items.select(F.col(item_id).cast("string").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    size = kept.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size <= pass_bytes:
+        return [kept]
+    n = 1 + 2 * size // pass_bytes  # twice as many, as hashes deal unevenly
+    dealt = written(kept.withColumn("pass", F.pmod(F.xxhash64("id", "text", F.lit(3)), F.lit(n))), "items")
+    return [dealt.where(F.col("pass") == k).select("id", "text") for k in range(n)]
+
+
+def _shards(kept: DataFrame, window: int, shard_words: int) -> list[SuffixAutomaton]:
+    """The automata of one pass, built from bounded parts of its items."""
     size = kept.agg(F.sum(F.octet_length("text")).alias("n"), F.count("*").alias("rows")).first()
     if not size["rows"]:
         return []
-    if (size["n"] or 0) > item_bytes:
-        raise ValueError(f"{size['n']} bytes of items; at most {item_bytes} are broadcast at once: call for parts of the items")
     n = 1 + (size["n"] or 0) // (2 * shard_words)  # a word and its gap take two characters at least
     if n == 1:
         return [SuffixAutomaton([(r["id"], words(r["text"].encode())) for r in kept.collect()], window)]
@@ -158,44 +166,65 @@ def _shards(items: DataFrame, item_id: str, text: str, window: int, shard_words:
 SPANS = "n_words long, n_hit long, n_items long, items array<string>, longest long, clean_text string"
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", remove: bool = True, shard_words: int = SHARD_WORDS) -> DataFrame:
+#: What earlier passes found: starts and ends of hit spans, ids of items, whether one had no id, the longest match.
+STATE = "starts array<int>, ends array<int>, items array<string>, nameless boolean, longest long"
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", remove: bool = True, shard_words: int = SHARD_WORDS, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """All columns of ``docs``, then n_words, n_hit (words inside a hit span), n_items, items (ids as sorted strings),
     longest (words of the longest run that an item holds, within runs that can hold a window) and clean_text, the text
     without its hit spans (null unless ``remove``; the text itself where nothing is hit).
 
     Null and empty texts have no words; null and wordless items no windows; items with null ids are one item, which counts but isn't named. Items
     of one id are one item; repeated rows of ``docs`` count each. An empty table of items hits nothing. A column of ``docs`` with one of these names gives
-    way. Texts pass whole. Narrow: no shuffle; the items are broadcast, ITEM_BYTES of text at most.
+    way. Texts pass whole. Narrow: no shuffle; the items of a pass are broadcast, and between passes the documents are written.
     """
-    automata = shipped(docs.sparkSession, _shards(items, item_id, item_text, window, shard_words))
     added = [x.split()[0] for x in SPANS.split(", ")]
     source = docs.drop(*added)
     names = source.columns
     inner = source.toDF(*[f"c{i}" for i in range(len(names))])
-    at = names.index(text)
-    schema = StructType([*inner.schema, *StructType.fromDDL(SPANS)])
+    plain = inner.schema
+    parts = _passes(items, item_id, item_text, pass_bytes)
+    for k, part in enumerate(parts):
+        last = k + 1 == len(parts)
+        schema = StructType([*plain, *StructType.fromDDL(SPANS if last else STATE)])
+        automata = shipped(docs.sparkSession, _shards(part, window, shard_words))
+        inner, before = inner.mapInArrow(_scanning(automata, names.index(text), len(names), k > 0, last, remove, schema.names), schema), inner
+        if not last:
+            inner = written(inner, "decontaminated")
+            discard(before)
+    return inner.toDF(*names, *added)
+
+
+def _scanning(automata, at: int, width: int, begun: bool, last: bool, remove: bool, columns: list[str]):
+    """One pass: takes documents, with what earlier passes found if any did, and adds what this one finds, or the result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machines = automata()
         for b in batches:
             rows = []
-            for raw in b.column(at).cast(pa.binary()).to_pylist():
+            earlier = list(zip(*(b.column(width + i).to_pylist() for i in range(5)))) if begun else [((), (), (), False, 0)] * len(b)
+            for raw, (starts, ends, ids, nameless, longest) in zip(b.column(at).cast(pa.binary()).to_pylist(), earlier):
                 seq = words(raw or b"")
-                spans, found, longest = [], set(), 0
+                spans, found = list(zip(starts, ends)), {*ids, *([None] if nameless else [])}
                 for m in machines:
                     s, f, n = m.scan(seq)
                     spans = s if not spans else _merged(spans + s) if s else spans
                     found |= {m.ids[k] for k in f}
                     longest = max(longest, n)
+                named = sorted(x for x in found if x is not None)
+                if not last:
+                    rows.append(([s for s, _ in spans], [e for _, e in spans], named, None in found, longest))
+                    continue
                 clean = None
                 if remove and raw is not None:
                     clean = _without(raw, spans).decode() if spans else raw.decode()
-                rows.append((len(seq), sum(e - s for s, e in spans), len(found), sorted(x for x in found if x is not None), longest, clean))
-            cols = list(zip(*rows)) if rows else [[]] * 6
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, t) for c, t in zip(cols, types))], schema.names)
+                rows.append((len(seq), sum(e - s for s, e in spans), len(found), named, longest, clean))
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int64(), pa.string()] if last else [pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.bool_(), pa.int64()]
+            cols = list(zip(*rows)) if rows else [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([*b.columns[:width], *(pa.array(c, t) for c, t in zip(cols, types))], columns)
 
-    return inner.mapInArrow(run, schema).toDF(*names, *added)
+    return run
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

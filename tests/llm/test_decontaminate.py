@@ -44,13 +44,17 @@ def make(seed):
 
 
 def test_same_as_brute_force(spark):
-    for seed, shard in ((1, 400_000), (2, 40)):
+    for seed, shard, size in ((1, 400_000, D.PASS_BYTES), (2, 40, D.PASS_BYTES), (3, 400_000, 700)):
         docs, items = make(seed)
         df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-        found = D.decontaminate(df, it, remove=False, shard_words=shard)
+        assert (len(D._passes(it, "item_id", "text", size)) > 3) == (size == 700)
+        found = D.decontaminate(df, it, remove=False, shard_words=shard, pass_bytes=size)
         got = sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, D.sha(list(r["items"])), r.n_hit > 0) for r in found.collect())
         assert got == brute(docs, items)
-        if shard == 400_000:
+        if size == 700:  # texts without their spans, too, are those of one pass
+            texts = lambda n: sorted((r.doc_id, r.clean_text or '', r.longest) for r in D.decontaminate(df, it, pass_bytes=n).collect())
+            assert texts(size) == texts(D.PASS_BYTES)
+        elif shard == 400_000:
             assert sorted(tuple(r) for r in D.digest(df, it).collect()) == got
 
 
@@ -63,14 +67,9 @@ def test_spans_are_removed(spark):
     assert D.clean(df, spark.createDataFrame([], "item_id long, text string")).count() == 4
 
 
-def test_null_item_ids_and_too_many_items(spark):
-    import pytest
-
-    from fleetspark.llm import decontaminate as D
-
+def test_null_item_ids(spark):
     docs = spark.createDataFrame([(1, "a b c d"), (2, None)], "doc_id long, text string")
     items = spark.createDataFrame([(None, "b c"), ("x", "c d"), (None, "a b")], "item_id string, text string")
-    got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256) for r in D.digest(docs, items).collect()}
-    assert got == {1: (4, 2, D.sha(["x"])), 2: (0, 0, D.sha([]))}
-    with pytest.raises(ValueError, match="bytes of items"):
-        D._shards(items, "item_id", "text", 10, 100, item_bytes=5)
+    for size in (D.PASS_BYTES, 2):
+        got = {r.doc_id: (r.n_hit, r.n_items, D.sha(list(r["items"]))) for r in D.decontaminate(docs, items, pass_bytes=size).collect()}
+        assert got == {1: (4, 2, D.sha(["x"])), 2: (0, 0, D.sha([]))}
