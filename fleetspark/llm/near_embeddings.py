@@ -4,28 +4,35 @@ A neighbour graph starts from cells of random hyperplanes and is refined by join
 brings its neighbours, forward and backward, together, and each of them keeps the best it has met. Wherever vectors meet,
 those that reach the threshold are also noted as connected, by a star to the least of them, so that links beyond the ends
 of the lists aren't lost. A vector whose list is full of links is saturated: its list is enlarged to its whole connected
-group, which is compared in blocks, all pairs, and counted where it is compared. A sample of the vectors of every
-label that cells divide is compared with all rows of the label to audit recall; while it misses links, further cells are
-drawn and lists that are full of links are let grow.
+group, which is compared in blocks, all pairs, and counted where it is compared. Two samples of the vectors of every
+label that cells divide, one of all and one of those with a near neighbour, are compared with all rows of the label to audit recall; while
+links are missed, further cells are drawn and lists that are full of links are let grow. After SEARCHES such rounds those labels are compared
+all pairs, in blocks.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shipped, written
 from fleetspark.operators.graph import components
 
+from .common import written
+
 THRESHOLD = 0.98
 #: Neighbours in a list, hyperplane trees drawn at first and in each further round, rounds of descent at most.
 K, TREES, MORE, ROUNDS = 10, 6, 4, 4
 #: Vectors of a cell aimed at, and at most; of a block of a group; audited at once; brought together in a task's group.
 CELL, LARGEST, BLOCK, AUDITED, TOGETHER = 128, 512, 512, 256, 2000
+#: Audits that may miss links before all pairs are compared; how near a neighbour makes a vector one to audit; rows that meet audited ones at once, and of these.
+SEARCHES, NEAR, SLICE, ABREAST = 6, 0.03, 20_000, 1024
+
+log = logging.getLogger(__name__)
 
 
 def _matrix(column) -> np.ndarray:
@@ -153,52 +160,69 @@ def _best(entries: DataFrame, k: int, full: int, threshold: float) -> DataFrame:
     return once.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))).where((F.col("r") <= k) | ((F.col("r") <= full) & (F.col("sim") >= threshold))).drop("r")
 
 
-def _asked(nodes: DataFrame) -> tuple[DataFrame, int]:
-    """(id, part) of the vectors to audit, and the number of parts: of every label that cells divide as many as the root of
-    its vectors, AUDITED at least; smaller labels are one cell, compared all pairs."""
+def _asked(nodes: DataFrame, lists: DataFrame, threshold: float) -> DataFrame:
+    """Ids of the vectors to audit, of every label that cells divide: of all its vectors as many as their root, AUDITED at least; and
+    AUDITED of those with a neighbour near the threshold or above it, so that links are seen however rare they are. Smaller labels are one cell, compared all pairs."""
     from pyspark.sql import Window
 
     rank = F.row_number().over(Window.partitionBy("label", "dim").orderBy("h", "id"))
-    # Drawn from somewhat more than are needed, so that no window holds a label's whole table.
-    want = F.greatest(F.lit(float(AUDITED)), F.sqrt("n"))
-    drawn = nodes.where("bits > 0").withColumn("h", F.xxhash64("id", F.lit(5))).where(F.shiftrightunsigned("h", 11) / float(1 << 53) * F.col("n") <= 2 * want + 50)
-    ids = written(drawn.withColumn("r", rank).where(F.col("r") <= want).select("id"), "near-asked")
-    parts = max(1, -(-ids.count() // (16 * AUDITED)))
-    return ids.withColumn("part", F.pmod(F.xxhash64("id", F.lit(6)), F.lit(parts))), parts
 
+    def drawn(of: DataFrame, n: Column, want: Column, salt: int) -> DataFrame:
+        # From somewhat more than are needed, so that no window holds a label's whole table.
+        some = of.withColumn("h", F.xxhash64("id", F.lit(salt))).where(F.shiftrightunsigned("h", 11) / float(1 << 53) * n <= 2 * want + 50)
+        return some.withColumn("r", rank).where(F.col("r") <= want).select("id")
+
+    large = nodes.where("bits > 0").select("id", "label", "dim", "n")
+    beside = large.join(lists.where(F.col("sim") >= threshold - NEAR).select(F.col("a").alias("id")).distinct(), "id")
+    beside = written(beside, "near-beside")
+    near = beside.join(beside.groupBy("label", "dim").agg(F.count("*").alias("m")), ["label", "dim"])
+    every = drawn(large, F.col("n"), F.greatest(F.lit(float(AUDITED)), F.sqrt("n")), 5)
+    return written(every.unionAll(drawn(near, F.col("m"), F.lit(float(AUDITED)), 7)).distinct(), "near-asked")
+
+
+def _audit(nodes: DataFrame, roots: DataFrame, threshold: float, asked: DataFrame) -> tuple[int, int]:
+    """(links of the audited vectors with all rows of their label, those of them within one group). A label's rows are dealt into parts
+    that each meet the label's audited vectors."""
+    audited = nodes.join(asked, "id", "left_semi")
+    parts = nodes.join(audited.select("label", "dim").distinct(), ["label", "dim"], "left_semi").groupBy("label", "dim").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("parts"))
+    placed = nodes.select("id", "label", "dim", "vec").join(parts, ["label", "dim"]).join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rows = placed.withColumn("part", F.pmod(F.xxhash64("id", F.lit(6)), F.col("parts")).cast("int")).select("label", "dim", "part", "id", "root", "vec")
+    queries = placed.join(asked, "id", "left_semi").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    queries = queries.select(*(F.col(c).alias(c) for c in rows.columns))  # columns of their own, as both sides come from one table
+
+    def meet(own: pa.Table, asking: pa.Table) -> pa.Table:
+        true = found = 0
+        if own.num_rows and asking.num_rows:
+            x, ids, groups = _matrix(own.column("vec")), own.column("id").to_numpy(), own.column("root").to_numpy()
+            for i in range(0, asking.num_rows, ABREAST):
+                q = asking.slice(i, ABREAST)
+                link = (x @ _matrix(q.column("vec")).T >= threshold) & (ids[:, None] != q.column("id").to_numpy()[None, :])
+                true += int(link.sum())
+                found += int((link & (groups[:, None] == q.column("root").to_numpy()[None, :])).sum())
+        return pa.table([pa.array([true], pa.int64()), pa.array([found], pa.int64())], ["links", "found"])
 
-def _audit(nodes: DataFrame, roots: DataFrame, threshold: float, asked: tuple[DataFrame, int]) -> tuple[int, int]:
-    """(links of the audited vectors with all rows, those of them within one group)."""
-    got = [_audit_part(nodes, roots, threshold, asked[0].where(F.col("part") == i).select("id")) for i in range(asked[1])]
-    return sum(t for t, _ in got), sum(f for _, f in got)
+    keys = ["label", "dim", "part"]
+    met = rows.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(meet, "links long, found long")
+    r = met.agg(F.coalesce(F.sum("links"), F.lit(0)), F.coalesce(F.sum("found"), F.lit(0))).first()
+    return r[0], r[1]
 
 
-def _audit_part(nodes: DataFrame, roots: DataFrame, threshold: float, ids: DataFrame) -> tuple[int, int]:
-    placed = nodes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "label", "dim", "vec", F.coalesce("root", "id").alias("root"))
-    asked = placed.join(ids, "id", "left_semi").collect()
-    queries = shipped(nodes.sparkSession, [(r["id"], r["label"], r["dim"], np.array(r["vec"], np.float64), r["root"]) for r in asked])
+def _all_links(nodes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) that connect what links connect: all pairs of each label, block by block, each pair of blocks a star or several."""
+    blocks = nodes.groupBy("label", "dim").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = nodes.select("label", "dim", "id", "vec").join(blocks, ["label", "dim"]).withColumn("own", F.pmod(F.xxhash64("id", F.lit(9)), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("label", "dim", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "vec")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds: dict = {}
-        for q in queries():
-            kinds.setdefault((q[1], q[2]), []).append(q)
-        for b in batches:
-            labels, dims = np.array(b.column("label").to_pylist(), object), b.column("dim").to_numpy()
-            true = found = 0
-            for (label, dim), own in kinds.items():
-                at = np.flatnonzero((labels == label) & (dims == dim))
-                if not len(at):
-                    continue
-                part = b.take(pa.array(at))
-                q = np.stack([x[3] for x in own])
-                link = _matrix(part.column("vec")) @ (q / np.sqrt((q * q).sum(1))[:, None]).T >= threshold
-                link &= part.column("id").to_numpy()[:, None] != np.array([x[0] for x in own])[None, :]
-                true += int(link.sum())
-                found += int((link & (part.column("root").to_numpy()[:, None] == np.array([x[4] for x in own])[None, :])).sum())
-            yield pa.RecordBatch.from_arrays([pa.array([true], pa.int64()), pa.array([found], pa.int64())], ["links", "found"])
+    def run(t: pa.Table) -> pa.Table:
+        x, ids, first = _matrix(t.column("vec")), t.column("id").to_numpy(), t.column("own").to_numpy() == t.column("i").to_numpy()
+        link = x @ x.T >= threshold
+        if not first.all():  # two blocks: those of one have met elsewhere
+            link &= first[:, None] != first[None, :]
+        np.fill_diagonal(link, False)
+        a, b = _stars(link, ids)
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    r = placed.mapInArrow(run, "links long, found long").agg(F.coalesce(F.sum("links"), F.lit(0)), F.coalesce(F.sum("found"), F.lit(0))).first()
-    return r[0], r[1]
+    return rows.groupBy("label", "dim", "i", "j").applyInArrow(run, "a long, b long").where("a <> b")
 
 
 def _counts(nodes: DataFrame, size: int, roots: DataFrame, threshold: float) -> DataFrame:
@@ -254,7 +278,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vec: str = "embeddi
     sizes = nodes.groupBy("label", "dim").agg(F.count("*").alias("n"))
     size = sizes.agg(F.sum("n")).first()[0] or 0
     celled = nodes.join(sizes.withColumn("bits", F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / CELL))).cast("int")), ["label", "dim"])
-    full, asked = k, _asked(celled)
+    full, asked, searches = k, None, 0
     met = written(_from_cells(celled, size, range(TREES), k, threshold), "near-met")
     stars, lists, trees = met.where("sim is null").select("a", "b"), written(_best(met, k, full, threshold), "near-lists"), TREES
     while True:
@@ -268,12 +292,18 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vec: str = "embeddi
                 break
         edges = written(stars.unionAll(lists.where(F.col("sim") >= threshold).select("a", "b")).distinct(), "near-edges")
         roots = components(edges, contract=True)
+        asked = _asked(celled, lists, threshold) if asked is None else asked
         true, found = _audit(nodes, roots, threshold, asked)
+        log.info("audit: %d links of the audited vectors, %d of them found", true, found)
         if history is not None:
             history.append((true, found))
         if found == true:
             break
-        # Each further tree may bring any link together, so the audit is whole in the end.
+        searches += 1
+        if searches == SEARCHES:
+            edges = written(edges.unionAll(_all_links(celled.where("bits > 0"), threshold)).distinct(), "near-edges")
+            roots = components(edges, contract=True)
+            break
         full *= 2
         met = written(_from_cells(celled, size, range(trees, trees + MORE), full, threshold), "near-met")
         trees += MORE

@@ -75,3 +75,39 @@ def test_search_goes_on_until_the_audit_is_whole(spark, monkeypatch):
     history = []
     N.near_duplicates(df, history=history)
     assert history == [(3, 2)] * 5 + [(3, 3)]
+
+
+def test_all_pairs_after_searches_that_miss(spark, monkeypatch):
+    """Audits that always miss links end in all pairs, which equal brute force though nothing was searched for; columns that clash are left alone."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for label in (0, 1):
+        centers = rng.standard_normal((12, 6))
+        rows += [(1000 * label + i, [float(x) for x in (centers[i % 12] + 0.08 * rng.standard_normal(6)).astype(np.float32)], label) for i in range(90)]
+    df = spark.createDataFrame([(*r, 1, 2.0) for r in rows], "vec_id long, embedding array<float>, label int, n_links int, id double")
+    monkeypatch.setattr(N, "CELL", 8)
+    monkeypatch.setattr(N, "BLOCK", 20)
+    monkeypatch.setattr(N, "SEARCHES", 1)
+    monkeypatch.setattr(N, "_audit", lambda *a: (3, 2))
+    empty = "a long, b long, sim double"
+    monkeypatch.setattr(N, "_from_cells", lambda nodes, *a: spark.createDataFrame([], empty))
+    monkeypatch.setattr(N, "_descend", lambda lists, *a: spark.createDataFrame([], empty))
+    got = N.near_duplicates(df).collect()
+    assert sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in got) == brute(rows)
+
+
+def test_audit_sees_rare_links(spark, monkeypatch):
+    """A few pairs among many vectors: those with a near neighbour are audited too, and what isn't in one group is missed."""
+    monkeypatch.setattr(N, "CELL", 32)
+    monkeypatch.setattr(N, "AUDITED", 20)
+    monkeypatch.setattr(N, "SLICE", 300)
+    monkeypatch.setattr(N, "ABREAST", 7)
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((2000, 16))
+    for i in range(15):
+        x[1000 + i] = x[i] + 0.03 * rng.standard_normal(16)
+    df = spark.createDataFrame([(i, [float(c) for c in v], 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    history = []
+    got = {r.vec_id: r.component_id for r in N.near_duplicates(df, history=history).collect()}
+    assert history[-1][0] == history[-1][1] >= 20  # of the 30 ends of 15 links, 20 are asked
+    assert all(got[1000 + i] == i for i in range(15))
