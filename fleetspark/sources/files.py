@@ -40,7 +40,10 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: StructType | st
 
 
 def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
-    (df.coalesce(1) if one_file else df).write.mode("overwrite").csv(path, header=True)
+    """CSV with a header; times keep their microseconds."""
+    at = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    writer = (df.coalesce(1) if one_file else df).write.mode("overwrite")
+    writer.options(timestampFormat=f"{at}XXX", timestampNTZFormat=at).csv(path, header=True)
 
 
 def discover(spark: SparkSession, root: str, suffix: str = ".parquet") -> list[str]:
