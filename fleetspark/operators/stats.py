@@ -31,14 +31,20 @@ def smoothed_mean(train: DataFrame, by: list[str], target: str, k: float, out: s
 
 
 def out_of_fold_mean(df: DataFrame, by: list[str], fold: str, target: str, out: str = "oof_mean") -> DataFrame:
-    """The entity's mean over the other folds, the other folds' mean where it has no rows there: totals less the fold's."""
-    key, part = Window.partitionBy(*by), Window.partitionBy(*by, fold)
-    s = F.sum(target).over(key) - F.sum(target).over(part)
-    n = F.count(target).over(key) - F.count(target).over(part)
-    folds = df.groupBy(fold).agg(F.sum(target).alias("__s"), F.count(target).alias("__n"))
-    folds = folds.withColumn("__ts", df.agg(F.sum(target)).scalar()).withColumn("__tn", df.agg(F.count(target)).scalar())
-    folds = folds.select(fold, ((F.col("__ts") - F.col("__s")) / F.when(F.col("__tn") != F.col("__n"), F.col("__tn") - F.col("__n"))).alias("__rest"))
-    return df.withColumn(out, s / F.when(n != 0, n)).join(folds, fold, "left").withColumn(out, F.coalesce(out, "__rest")).drop("__rest")
+    """The entity's mean over the other folds, the other folds' mean where it has no rows there: totals less the fold's. Rows
+    are summed by entity and fold before they are shuffled, and the few sums are joined back."""
+    keys = [f"__k{i}" for i in range(len(by))]
+    parts = df.groupBy(*(F.col(c).alias(k) for c, k in zip(by, keys)), F.col(fold).alias("__f")).agg(F.sum(target).alias("s"), F.count(target).alias("n"))
+    whole, every = Window.partitionBy(*keys), parts.groupBy("__f").agg(F.sum("s").alias("fs"), F.sum("n").alias("fn"))
+    every = every.withColumns({"ts": parts.agg(F.sum("s")).scalar(), "tn": parts.agg(F.sum("n")).scalar()})
+    every = every.select(F.col("__f").alias("__e"), ((F.col("ts") - F.coalesce("fs", F.lit(0.0))) / F.when(F.col("tn") != F.col("fn"), F.col("tn") - F.col("fn"))).alias("__rest"))
+    s, n = F.coalesce("s", F.lit(0.0)), F.col("n")
+    own = parts.select(*keys, "__f", (F.sum(s).over(whole) - s).alias("__s"), (F.sum(n).over(whole) - n).alias("__n"))
+    means = own.join(every, F.col("__f") == F.col("__e"), "left").select(*keys, "__f", F.coalesce(F.col("__s") / F.when(F.col("__n") != 0, F.col("__n")), F.col("__rest")).alias("__m"))
+    same = F.col(fold).eqNullSafe(F.col("__f"))
+    for c, k in zip(by, keys):
+        same = same & F.col(c).eqNullSafe(F.col(k))
+    return df.drop(out).join(means, same, "left").withColumn(out, F.col("__m")).drop("__m", "__f", *keys)
 
 
 def cascade(df: DataFrame, out: str, *steps: tuple[Column, Column]) -> DataFrame:
