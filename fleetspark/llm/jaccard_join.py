@@ -184,7 +184,8 @@ def _frequent(docs: DataFrame, text: str, rows: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(raw, hashes).view(np.int64))], ["h"])
 
     common = sample.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "h").limit(FREQUENT)
-    return np.sort(np.array([r["h"] for r in common.select("h").collect()], np.int64).view(U))
+    # As Arrow, since as many rows would be objects of the driver's Python.
+    return np.sort(common.select("h").toArrow().column("h").to_numpy().view(U))
 
 
 def _met(docs: DataFrame, key: str, text: str, signatures: Signatures, buckets: int) -> DataFrame:

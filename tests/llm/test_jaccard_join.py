@@ -103,3 +103,10 @@ def test_edges(spark):
     assert got == [("1", 2, "1"), ("1", 2, "1"), ("7", 0, "7"), ("7", 0, "7"), ("None", 2, "1")]
     kept = J.keep_one(df)
     assert kept.columns == df.columns and kept.count() == 5
+
+
+def test_frequent_elements_are_no_rows_of_the_driver(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "one two three four five six seven") for i in range(12)] + [(20, "a b c d e f")], "doc_id long, text string")
+    monkeypatch.setattr(type(df), "collect", lambda self: pytest.fail("collected as rows"))
+    got = J._frequent(df, "text", 13)
+    assert got.tolist() == J.shingles(b"one two three four five six seven", J._WordHashes()).tolist()
