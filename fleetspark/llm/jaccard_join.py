@@ -172,18 +172,39 @@ class Signatures:
         return np.unique(np.concatenate([_mix(sums + salt(np.arange(segments, dtype=U))), _mix(sums[segment.astype(np.int64)] - x + salt(segment))]))
 
 
+def _packed(h: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(bucket, hashes) by the upper eight bits."""
+    h = np.sort(h)
+    bucket = h >> U(56)
+    starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    for i, j in zip(starts, np.append(starts[1:], len(h))):
+        yield pa.RecordBatch.from_arrays([pa.array([int(bucket[i])], pa.int64()), pa.array([h[i:j].tobytes()], pa.binary())], ["bucket", "hashes"])
+
+
 def _frequent(docs: DataFrame, text: str, rows: int) -> np.ndarray:
     """Hashes that stand in at least OFTEN texts of a sample of about SAMPLE: a hint of bounded size, never a condition."""
     share = max(1, rows // SAMPLE)
     sample = docs.select(F.col(text).alias("text")).where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(share)) == 0)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _WordHashes()
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held, size = _WordHashes(), [], 0
         for b in batches:
             for raw in b.column(0).cast(pa.binary()).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(raw, hashes).view(np.int64))], ["h"])
+                held.append(shingles(raw, hashes))
+                size += len(held[-1])
+                if size >= PACKED:
+                    yield from _packed(np.concatenate(held))
+                    held, size = [], 0
+        if size:
+            yield from _packed(np.concatenate(held))
+
+    def count(block: pa.Table) -> pa.Table:
+        h, n = np.unique(np.concatenate([np.frombuffer(x, U) for x in block.column("hashes").to_pylist()]), return_counts=True)
+        often = n >= OFTEN
+        return pa.table([pa.array(h[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["h", "count"])
 
-    common = sample.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "h").limit(FREQUENT)
+    # Packed by their upper bits, as a row for each would fill the executors' memory.
+    common = sample.mapInArrow(pack, "bucket long, hashes binary").groupBy("bucket").applyInArrow(count, "h long, count long").orderBy(F.desc("count"), "h").limit(FREQUENT)
     # As Arrow, since as many rows would be objects of the driver's Python.
     return np.sort(common.select("h").toArrow().column("h").to_numpy().view(U))
 

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from fleetspark.llm import jaccard_join as J
@@ -110,3 +111,18 @@ def test_frequent_elements_are_no_rows_of_the_driver(spark, monkeypatch):
     monkeypatch.setattr(type(df), "collect", lambda self: pytest.fail("collected as rows"))
     got = J._frequent(df, "text", 13)
     assert got.tolist() == J.shingles(b"one two three four five six seven", J._WordHashes()).tolist()
+
+
+def test_ngrams_are_counted_in_packs(spark, monkeypatch):
+    monkeypatch.setattr(J, "PACKED", 700)
+    rows = corpus(8)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
+    made, of = [], type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, *a: made.append(of(self, *a)) or made[-1])
+    got = J._frequent(df, "text", len(rows))
+    sets = [J.shingles(None if t is None else t.encode(), J._WordHashes()) for _, t in rows]
+    h, n = np.unique(np.concatenate(sets), return_counts=True)
+    assert got.tolist() == h[n >= J.OFTEN].tolist() and len(got)
+    # Rows between tasks follow the packs, not the n-grams.
+    assert sum(len(x) for x in made[0].toArrow().column("hashes").to_pylist()) == 8 * n.sum()
+    assert made[0].count() <= 256 * (3 + n.sum() // 700)
