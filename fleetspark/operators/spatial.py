@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetspark.storage import bounded, written
+
 
 def _cells(low: Column, high: Column, size: float) -> Column:
     return F.sequence(F.floor(low / size), F.floor(high / size))
@@ -25,6 +27,16 @@ def point_segment_distance(x: Column, y: Column) -> Column:
     return F.sqrt(F.pow(x - F.col("x1") - t * dx, 2) + F.pow(y - F.col("y1") - t * dy, 2))
 
 
+def _shared(points: DataFrame, found: DataFrame, key: str, by: list[str]) -> DataFrame:
+    """``points`` with what was ``found`` for their places (by, x, y), nothing where the key is null. The points aren't
+    shuffled while the places are few, by their bytes."""
+    p, f = points.alias("p"), bounded(written(found, "places")).alias("f")
+    on = F.col(f"p.{key}").isNotNull()
+    for c in (*by, "x", "y"):
+        on &= F.col(f"p.{c}") == F.col(f"f.{c}")
+    return p.join(f, on, "left").select("p.*", *(f"f.{c}" for c in found.columns if c not in (*by, "x", "y")))
+
+
 def within_buffer(points: DataFrame, segments: DataFrame, radius: float, key: str, by: list[str] = (), out: str = "inside") -> DataFrame:
     """Whether each point lies within ``radius`` of any segment of its ``by``; a point on the rim is inside."""
     size = max(radius * 4, 1.0)
@@ -49,13 +61,18 @@ def within_rings(points: DataFrame, segments: DataFrame, key: str, by: list[str]
 
 
 def nearest_anchor(points: DataFrame, anchors: DataFrame, radius: float, key: str, by: list[str] = (), anchor: str = "anchor") -> DataFrame:
-    """The nearest anchor (ax, ay) closer than ``radius`` and its distance; null if there is none. Ties: the least anchor."""
-    spread = anchors.withColumn("__cx", F.explode(F.array(*(F.floor(F.col("ax") / radius) + i for i in (-1, 0, 1)))))
+    """The nearest anchor (ax, ay) closer than ``radius`` and its distance; null if there is none. Ties: the least anchor.
+
+    Points of one place share their answer, and of anchors of one place only the least can be it, so that copies of either
+    make no more pairs.
+    """
+    least = anchors.groupBy(*by, "ax", "ay").agg(F.min(anchor).alias(anchor))
+    spread = least.withColumn("__cx", F.explode(F.array(*(F.floor(F.col("ax") / radius) + i for i in (-1, 0, 1)))))
     spread = spread.withColumn("__cy", F.explode(F.array(*(F.floor(F.col("ay") / radius) + i for i in (-1, 0, 1)))))
-    p = points.select(key, *by, "x", "y").withColumn("__cx", F.floor(F.col("x") / radius)).withColumn("__cy", F.floor(F.col("y") / radius))
+    p = points.select(*by, "x", "y").distinct().withColumn("__cx", F.floor(F.col("x") / radius)).withColumn("__cy", F.floor(F.col("y") / radius))
     j = p.join(spread, [*by, "__cx", "__cy"]).withColumn("distance", F.sqrt(F.pow(F.col("x") - F.col("ax"), 2) + F.pow(F.col("y") - F.col("ay"), 2)))
-    best = j.where(F.col("distance") < radius).groupBy(key).agg(F.min(F.struct("distance", anchor)).alias("__b"))
-    return points.join(best, key, "left").withColumn(anchor, F.col(f"__b.{anchor}")).withColumn("distance", F.col("__b.distance")).drop("__b")
+    best = j.where(F.col("distance") < radius).groupBy(*by, "x", "y").agg(F.min(F.struct("distance", anchor)).alias("__b"))
+    return _shared(points, best.select(*by, "x", "y", f"__b.{anchor}", "__b.distance"), key, by)
 
 
 def assigned_anchor(near: DataFrame, entity: str, anchor: str = "anchor") -> DataFrame:
