@@ -1,7 +1,13 @@
+import os
 import random
 
+import pytest
+
+import fleetspark.plans  # noqa: F401
 from fleetspark.operators import spatial
+from fleetspark.plans import registry
 
+DATA = "/root/testdata/sf0.001"
 
 
 def plan(df):
@@ -26,3 +32,8 @@ def test_nearest_anchor_of_copies(spark):
     assert found.count() == len(points) and found.columns == ["id", "m", "x", "y", "anchor", "distance"]
     # The points meet the answers of their places; they are neither shuffled nor paired with anchors themselves.
     assert "Exchange hashpartitioning" not in plan(found) and "__cx" not in plan(found)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+def test_assigned_distance_shuffles_no_pings(spark):
+    assert "Exchange hashpartitioning" not in plan(registry.QUERIES["assigned_distance"](spark, DATA))
