@@ -37,3 +37,8 @@ def test_nearest_anchor_of_copies(spark):
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
 def test_assigned_distance_shuffles_no_pings(spark):
     assert "Exchange hashpartitioning" not in plan(registry.QUERIES["assigned_distance"](spark, DATA))
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+def test_assigned_anchor_pairs_places_only(spark):
+    assert "__cx" not in plan(registry.QUERIES["assigned_anchor"](spark, DATA))
