@@ -42,3 +42,9 @@ def test_assigned_distance_shuffles_no_pings(spark):
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
 def test_assigned_anchor_pairs_places_only(spark):
     assert "__cx" not in plan(registry.QUERIES["assigned_anchor"](spark, DATA))
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+def test_near_any_anchor_pairs_places_only(spark):
+    found = plan(registry.QUERIES["near_any_anchor"](spark, DATA))
+    assert "__cx" not in found and "Exchange hashpartitioning" not in found
