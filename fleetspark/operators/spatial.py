@@ -38,13 +38,16 @@ def _shared(points: DataFrame, found: DataFrame, key: str, by: list[str]) -> Dat
 
 
 def within_buffer(points: DataFrame, segments: DataFrame, radius: float, key: str, by: list[str] = (), out: str = "inside") -> DataFrame:
-    """Whether each point lies within ``radius`` of any segment of its ``by``; a point on the rim is inside."""
+    """Whether each point lies within ``radius`` of any segment of its ``by``; a point on the rim is inside.
+
+    Points of one place share their answer and equal segments are one, so that copies of either make no more pairs.
+    """
     size = max(radius * 4, 1.0)
-    cells = segment_cells(segments, radius, size).select(*by, "x1", "y1", "x2", "y2", "__cx", "__cy")
-    p = points.withColumn("__cx", F.floor(F.col("x") / size)).withColumn("__cy", F.floor(F.col("y") / size))
-    hit = p.select(key, *by, "x", "y", "__cx", "__cy").join(cells, [*by, "__cx", "__cy"])
-    hit = hit.where(point_segment_distance(F.col("x"), F.col("y")) <= radius).select(key).distinct().withColumn(out, F.lit(True))
-    return points.join(hit, key, "left").withColumn(out, F.coalesce(out, F.lit(False)))
+    cells = segment_cells(segments.select(*by, "x1", "y1", "x2", "y2").distinct(), radius, size)
+    p = points.select(*by, "x", "y").distinct().withColumn("__cx", F.floor(F.col("x") / size)).withColumn("__cy", F.floor(F.col("y") / size))
+    hit = p.join(cells, [*by, "__cx", "__cy"])
+    hit = hit.where(point_segment_distance(F.col("x"), F.col("y")) <= radius).select(*by, "x", "y").distinct().withColumn(out, F.lit(True))
+    return _shared(points, hit, key, by).withColumn(out, F.coalesce(out, F.lit(False)))
 
 
 def within_rings(points: DataFrame, segments: DataFrame, key: str, by: list[str] = (), out: str = "inside", size: float = 100.0) -> DataFrame:

@@ -48,3 +48,15 @@ def test_assigned_anchor_pairs_places_only(spark):
 def test_near_any_anchor_pairs_places_only(spark):
     found = plan(registry.QUERIES["near_any_anchor"](spark, DATA))
     assert "__cx" not in found and "Exchange hashpartitioning" not in found
+
+
+def test_within_buffer_of_copies(spark):
+    rng = random.Random(8)
+    points = copies(rng, 300)
+    lines = [(i % 2, x := rng.randrange(9) * 50.0, y := rng.randrange(9) * 50.0, x + 70, y) for i in range(6)] * 40
+    p = spark.createDataFrame(points, "id int, m int, x double, y double")
+    found = spatial.within_buffer(p, spark.createDataFrame(lines, "m int, x1 double, y1 double, x2 double, y2 double"), 20.0, "id", ["m"])
+    for r in found.collect():
+        near = r.id is not None and r.y is not None and any(m == r.m and (r.x - min(max(r.x, a), c)) ** 2 + (r.y - b) ** 2 <= 400 for m, a, b, c, _ in lines)
+        assert r.inside == near
+    assert found.count() == len(points) and "Exchange hashpartitioning" not in plan(found) and "__cx" not in plan(found)
