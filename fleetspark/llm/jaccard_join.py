@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,8 @@ PER_BUCKET, BUCKETS, PACKED, TOGETHER = 1_000_000, 256, 1_000_000, 20_000
 #: Members of a run or of a group of candidates that a task compares at once, all with all or with as many others; bytes of
 #: their sketches and sets, so that blocks of long texts have fewer members. Rows that move go down as blocks grow.
 BLOCK, HELD = 2048, 64 << 20
+#: Pairs that are sent to their sets at once, and passes at most over more of them, beyond which sets are shuffled by both ends.
+PAIRS, PASSES = 1_300_000, 4
 #: Sample from which frequent elements are learned: rows, how many of them share an element, elements kept at most.
 SAMPLE, OFTEN, FREQUENT = 20_000, 10, 200_000
 #: Bits of a sketch at least; it has two a shingle, up to a power of two.
@@ -329,10 +332,8 @@ def _linked(s: np.ndarray, t: np.ndarray, num: int, den: int) -> bool:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that reach the similarity, by their whole sets."""
-    one = sets.select(F.col("sid").alias("a"), F.col("set").alias("sa"))
-    two = sets.select(F.col("sid").alias("b"), F.col("set").alias("sb"))
-    both = pairs.join(one, "a").join(two, "b")
+    """The pairs (a, b) that reach the similarity, by their whole sets. Pairs go to the sets a by broadcast, so that only these
+    and the sets b that are asked for are shuffled, once each; more than PAIRS take several passes, each with its own files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -342,7 +343,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
             kept = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(kept), b.column(1).filter(kept)], ["a", "b"])
 
-    return written(both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "jaccard-links")
+    found = []
+    passes = min(PASSES, -(-pairs.count() // PAIRS) or 1)
+    for i in range(passes):
+        part = pairs.select("a", "b").where(F.pmod(F.xxhash64("b"), F.lit(passes)) == i)
+        one = sets.select(F.col("sid").alias("a"), F.col("set").alias("sa")).join(bounded(part), "a")
+        two = sets.join(bounded(part.select(F.col("b").alias("sid")).distinct()), "sid", "left_semi").select(F.col("sid").alias("b"), F.col("set").alias("sb"))
+        found.append(written(one.join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "jaccard-links"))
+    return reduce(DataFrame.unionAll, found)
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -442,7 +450,9 @@ def _across(runs: DataFrame, roots: DataFrame, sets: DataFrame, num: int, den: i
     rows = written(runs.join(open_runs, "run", "left_semi"), "jaccard-runs")
     members = rows.select("run", F.col("a").alias("sid")).unionAll(rows.select("run", F.col("b").alias("sid"))).distinct()
     rooted = sets.dropDuplicates(["sid"]).join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    members = _in_blocks(members.join(rooted.select("sid", "n", "root", "sketch"), "sid"), "run", rows.count(), F.col("n") / 4 + 64)
+    places = ["task", "run", "i", "j", "own", "sid", "n", "root"]
+    # Placed by themselves, so that sketches and sets move only once it is known where to.
+    placed = written(_in_blocks(members.join(rooted.select("sid", "n", "root"), "sid"), "run", rows.count(), F.col("n") / 4 + 64).select(*places), "jaccard-placed")
 
     def sketched(t: pa.Table) -> pa.Table:
         sid, n, root = (t.column(c).to_numpy() for c in ("sid", "n", "root"))
@@ -460,11 +470,13 @@ def _across(runs: DataFrame, roots: DataFrame, sets: DataFrame, num: int, den: i
 
         return _of_blocks(t, "run", compare)
 
-    near = written(members.select("task", "run", "i", "j", "own", "sid", "n", "root", "sketch").groupBy("task").applyInArrow(sketched, "a long, b long").distinct(), "jaccard-near")
+    near = placed.join(rooted.select("sid", "sketch"), "sid").select(*places, "sketch").groupBy("task").applyInArrow(sketched, "a long, b long")
+    near = written(near.distinct(), "jaccard-near")
     # Whatever pair the bound leaves has both its ends in one group of these.
     together = written(components(near, contract=True).select(F.col("node").alias("sid"), F.col("root").alias("party")), "jaccard-parties")
-    discard(open_runs, rows, near)
-    members = _in_blocks(together.join(rooted, "sid"), "party", together.count(), F.col("n") * 8.25 + 64)
+    discard(open_runs, rows, near, placed)
+    places[1] = "party"
+    placed = written(_in_blocks(together.join(rooted.select("sid", "n", "root"), "sid"), "party", together.count(), F.col("n") * 8.25 + 64).select(*places), "jaccard-placed")
 
     def exact(t: pa.Table) -> pa.Table:
         sid, n, root = (t.column(c).to_numpy() for c in ("sid", "n", "root"))
@@ -482,7 +494,11 @@ def _across(runs: DataFrame, roots: DataFrame, sets: DataFrame, num: int, den: i
 
         return _of_blocks(t, "party", compare)
 
-    return written(members.select("task", "party", "i", "j", "own", "sid", "n", "root", "sketch", "set").groupBy("task").applyInArrow(exact, "a long, b long"), "jaccard-links")
+    asked = sets.join(bounded(together.select("sid")), "sid", "left_semi").select("sid", "sketch", "set").dropDuplicates(["sid"])
+    links = placed.join(asked, "sid").select(*places, "sketch", "set").groupBy("task").applyInArrow(exact, "a long, b long")
+    links = written(links, "jaccard-links")
+    discard(placed)
+    return links
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = NUM, den: int = DEN) -> DataFrame:
@@ -507,7 +523,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int =
     sets = _elements(docs, key, text, owners)
 
     # Each set with the one it shares most with; then pairs, then members of runs, that these links leave apart.
-    best = pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", F.col("b"))).alias("b"))
+    best = written(pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", F.col("b"))).alias("b")), "jaccard-best")
     links = _verified(best, sets, num, den)
     roots = links.select(F.col("a").alias("node"), F.col("b").alias("root"))  # one link suffices to tell that two are connected
     more = written(_apart(pairs.select("a", "b"), roots).join(best, ["a", "b"], "left_anti"), "jaccard-more")
@@ -515,7 +531,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int =
     roots = written(components(links, contract=True), "jaccard-roots")
     across = _across(found.where("run <> 0"), roots, sets, num, den)
     roots = written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(across), contract=True), "jaccard-roots")
-    discard(found, pairs, owners, sets, more)
+    discard(found, pairs, owners, sets, best, more)
     out = sets_of.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = sets_of.where("sid is not null").groupBy("sid").agg(F.min("key").alias("key")).join(roots.withColumnRenamed("node", "sid"), "sid", "left")
     least = least.groupBy(F.coalesce("root", "sid").alias("root")).agg(F.min("key").alias("component_id"))

@@ -126,3 +126,28 @@ def test_ngrams_are_counted_in_packs(spark, monkeypatch):
     # Rows between tasks follow the packs, not the n-grams.
     assert sum(len(x) for x in made[0].toArrow().column("hashes").to_pylist()) == 8 * n.sum()
     assert made[0].count() <= 256 * (3 + n.sum() // 700)
+
+
+@pytest.mark.parametrize("limit", [1_300_000, 4])
+def test_sets_are_shuffled_once_each(spark, monkeypatch, limit):
+    """Only sets that a pass asks for move, once for their side of its pairs, and passes lose no link."""
+    words = [[f"w{i}x{k}" for k in range(40)] for i in range(6)]
+    texts = [" ".join(words[i % 6][: 40 - i // 6]) for i in range(36)]
+    made = [J.shingles(t.encode(), J._WordHashes()) for t in texts]
+    sets = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(made)], "sid long, set binary")
+    pairs = [(i, j) for i in range(36) for j in range(i % 3, i, 3)]
+    plans = []
+    kept = J.written
+    monkeypatch.setattr(J, "PAIRS", limit, raising=False)
+    monkeypatch.setattr(J, "written", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df, name))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = {tuple(r) for r in J._verified(spark.createDataFrame(pairs, "a long, b long"), sets, 75, 100).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert found == {(i, j) for i, j in pairs if J._linked(made[i], made[j], 75, 100)} and found
+    assert len(plans) == (4 if limit == 4 else 1)
+    for p in plans:
+        initial = p.split("Initial Plan")[-1]
+        assert initial.count("Exchange hashpartitioning(a") == 0 and initial.count("Exchange hashpartitioning(b") <= 3
